@@ -7,7 +7,9 @@ import importlib
 #: Query name -> module that defines a function of that name and, where SQL can express it, its text by the name SQL.
 QUERIES = {
     "op3_sstable_token_ids": "sstable",
+    "op5_html_main_text": "html_text",
     "op6_byte_bpe": "byte_bpe",
+    "op10_toxicity": "toxicity",
 }
 
 
