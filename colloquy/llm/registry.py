@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sstable_token_ids": "sstable",
     "op5_html_main_text": "html_text",
     "op6_byte_bpe": "byte_bpe",
+    "op9_graph_ann": "graph_ann",
     "op10_toxicity": "toxicity",
 }
 
