@@ -15,6 +15,7 @@ from __future__ import annotations
 import bisect
 import functools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -36,8 +37,13 @@ FOOTER = struct.Struct("<QQQQQQ8s")
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
-#: Pieces that one worker remembers before it starts afresh; bounds its memory, never its results.
-PIECES = 200_000
+#: Words that one worker remembers before it starts afresh; bounds its memory, never its results.
+WORDS = 1_000_000
+#: The vocabulary file's split pattern over lower-cased Latin-1, with its letters, numbers and spaces.
+LETTERS, NUMBERS, SPACES = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe", rb"\t-\r \x85\xa0"
+PRETOKEN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[%b]+|[%b]|[^%b%b%b]+" % (LETTERS, NUMBERS, SPACES, LETTERS, NUMBERS))
+LOWER = bytes(ord(c.lower()) if len(c.lower()) == 1 and ord(c.lower()) < 256 else i for i, c in enumerate(map(chr, range(256))))
+LETTER_SET = frozenset(b for b in range(256) if re.match(rb"[%b]" % LETTERS, bytes([b])))
 
 
 def put_varint(out: bytearray, n: int) -> None:
@@ -197,31 +203,62 @@ def open_shard(uri: str) -> Reader:
     return Reader(f, f.size())
 
 
-class PieceEncoder:
-    """Ids of whole texts by the tokenizers library.
+class Encoder:
+    """Ids of whole texts by the tokenizers library, which meets each distinct word once.
 
-    The vocabulary drops white space and no token spans it, so a text's ids are those of its pieces
-    between spaces and line ends, in order; a piece met again is looked up instead of encoded.
+    The vocabulary's file splits a text, lower-cased, by PRETOKEN before it merges bytes, so a text's ids
+    are those of its words in order. In texts of Latin-1 characters (where lower case, normal form and
+    the pattern's classes are plain tables) words are cut here and looked up; a word not met before goes
+    to the library, as do, whole, all other texts and those that may hold a special token.
     """
 
     def __init__(self, path: str):
-        self.tok, self.seen = Tokenizer.from_file(path), {"": b""}
+        self.tok = Tokenizer.from_file(path)
+        self.seen: dict[bytes, bytes] = {}
+        ends = np.zeros(1 + max(self.tok.get_vocab(with_added_tokens=True).values()), bool)
+        ends[[i for t, i in self.tok.get_vocab(with_added_tokens=True).items() if t.endswith("</w>")]] = True
+        self.ends = ends
+
+    def learn(self, new: list[bytes]) -> None:
+        words = [w for w in new if w[0] in LETTER_SET]  # one run of letters: its last id, and no other, ends a word
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.tok.encode(b" ".join(part).decode("latin-1"), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                raise ValueError("the vocabulary doesn't mark the ends of words")
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(part, (4 * cuts).tolist(), strict=True):
+                self.seen[w] = raw[begin:end]
+                begin = end
+        rest = [w for w in new if w[0] not in LETTER_SET]
+        for w, e in zip(rest, self.tok.encode_batch([w.decode("latin-1") for w in rest], add_special_tokens=False), strict=True):
+            self.seen[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         for text in texts:
-            pieces = (text or "").replace("\n", " ").split(" ")
-            if new := list(set(pieces) - self.seen.keys()):
-                if len(self.seen) > PIECES:
-                    self.seen, new = {"": b""}, list(set(pieces) - {""})
-                ids = self.tok.encode_batch(new, add_special_tokens=False)
-                self.seen.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, ids, strict=True))
-            yield b"".join(map(self.seen.__getitem__, pieces))
+            text = text or ""
+            try:
+                raw = text.encode("latin-1").translate(LOWER)
+            except UnicodeEncodeError:
+                raw = b"<|"
+            if b"<|" in raw:
+                yield np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            words = PRETOKEN.findall(raw)
+            try:
+                yield b"".join(map(self.seen.__getitem__, words))
+            except KeyError:
+                if len(self.seen) > WORDS:
+                    self.seen = {}
+                self.learn(list(set(words) - self.seen.keys()))
+                yield b"".join(map(self.seen.__getitem__, words))
 
 
 @functools.cache
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    return PieceEncoder(path)
+    return Encoder(path)
 
 
 MANIFEST = "shard long, path string, n_docs long, n_tokens long"
