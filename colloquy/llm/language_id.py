@@ -253,7 +253,7 @@ class Predictor:
         words = [SPLIT.findall((t or "").lower()) for t in texts]
         if len(self.at) > REMEMBERED:
             self.at, self.table = {}, self.table[:0]
-        if new := list(set().union(*words) - self.at.keys()):
+        if new := [w for w in set().union(*words) if w not in self.at]:
             self.learn(new)
         out = []
         for ws in words:

@@ -251,7 +251,7 @@ class Encoder:
             except KeyError:
                 if len(self.seen) > WORDS:
                     self.seen = {}
-                self.learn(list(set(words) - self.seen.keys()))
+                self.learn([w for w in set(words) if w not in self.seen])
                 yield b"".join(map(self.seen.__getitem__, words))
 
 
