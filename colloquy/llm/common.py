@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Words of the lower-cased text, as the benchmark and shingle operators take them.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

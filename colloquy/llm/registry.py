@@ -8,6 +8,7 @@ import importlib
 QUERIES = {
     "op2_language_id": "language_id",
     "op3_sstable_token_ids": "sstable",
+    "op4_decontaminate": "decontaminate",
     "op5_html_main_text": "html_text",
     "op6_byte_bpe": "byte_bpe",
     "op9_graph_ann": "graph_ann",
