@@ -239,11 +239,8 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(max(0.0, w[1]))
 
 
-def fit(labelled: DataFrame) -> Model:
-    """A model from (text, toxic) rows: the bounded sample's term counts, then weights and curve."""
-    order = F.xxhash64("text")
-    rows = labelled.where(F.col("text").isNotNull() & F.col("toxic").isNotNull()).select("text", "toxic")
-    sample = rows.where("toxic = 1").orderBy(order, "text").limit(SAMPLE_TOXIC).union(rows.where("toxic = 0").orderBy(order, "text").limit(SAMPLE_CLEAN))
+def fit(sample: DataFrame) -> Model:
+    """A model from the bounded sample's (text, toxic) rows: its term counts, then weights and curve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter[str](), Counter[str]()
@@ -253,7 +250,7 @@ def fit(labelled: DataFrame) -> Model:
         keys = list(counts[0].keys() | counts[1].keys())
         yield pa.record_batch([pa.array(keys, pa.string()), pa.array([counts[0][k] for k in keys], pa.int64()), pa.array([counts[1][k] for k in keys], pa.int64())], ["term", "a", "b"])
 
-    sample = sample.repartition(12).persist()  # bounded by SAMPLE_*; recomputed if an executor is lost
+    sample = sample.where("text is not null").select("text", "toxic").repartition(12).persist()  # recomputed if an executor is lost
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -324,8 +321,10 @@ def held_out(key: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the labelled documents that are not held out."""
-    known = labels.where(~held_out()).select("doc_id", "toxic").where("toxic is not null").dropDuplicates(["doc_id"])
-    return fit(docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic"))
+    known = labels.where(~held_out()).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    order = F.xxhash64("doc_id")
+    ids = known.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE_TOXIC).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE_CLEAN))
+    return fit(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))  # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
