@@ -40,3 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
+
+
+def chunks(batch, column: int, limit: int = 1 << 20):
+    """Slices of an Arrow batch with about `limit` bytes in a string column, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, "right")))
+        yield batch.slice(at, end - at)
+        at = end

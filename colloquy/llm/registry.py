@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module that defines a function of that name and, where SQL can express it, its text by the name SQL.
 QUERIES = {
+    "op1_ngram_join": "ngram_join",
     "op2_language_id": "language_id",
     "op3_sstable_token_ids": "sstable",
     "op4_decontaminate": "decontaminate",
