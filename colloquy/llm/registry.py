@@ -12,6 +12,7 @@ QUERIES = {
     "op4_decontaminate": "decontaminate",
     "op5_html_main_text": "html_text",
     "op6_byte_bpe": "byte_bpe",
+    "op7_suffix_dedup": "suffix_dedup",
     "op9_graph_ann": "graph_ann",
     "op10_toxicity": "toxicity",
 }
