@@ -13,6 +13,7 @@ QUERIES = {
     "op5_html_main_text": "html_text",
     "op6_byte_bpe": "byte_bpe",
     "op7_suffix_dedup": "suffix_dedup",
+    "op8_suffix_tree_lm": "suffix_tree_lm",
     "op9_graph_ann": "graph_ann",
     "op10_toxicity": "toxicity",
 }

@@ -331,7 +331,7 @@ def repeated(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def ordered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
-    """((d, t), None) where keys are distinct and not null, with d the key; else d numbers distinct rows, beside (d, key) of every row."""
+    """((d, t), None) where keys are distinct and not null, with d the key; else d numbers the distinct rows in order, beside (d, k, h, n)."""
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     once = rows.groupBy("k").count().where("count > 1 or k is null").limit(1).count() == 0
     if once:
@@ -341,16 +341,14 @@ def ordered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("h", T.LongType()), T.StructField("d", T.LongType()), T.StructField("n", T.LongType())])
     numbers = written(docs.sparkSession.createDataFrame(numbers, schema), "suffix-order")
     on = rows.k.eqNullSafe(numbers.k) & (rows.h == numbers.h)
-    texts = written(rows.join(numbers, on).select("d", "t").dropDuplicates(["d"]), "suffix-texts")
-    return texts, numbers.select("d", "k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
+    return written(rows.join(numbers, on).select("d", "t").dropDuplicates(["d"]), "suffix-texts"), numbers
 
 
 RESULT = [("kept", T.BinaryType()), ("spans", T.ArrayType(T.ArrayType(T.LongType()))), ("n_bytes", T.LongType()), ("n_removed", T.LongType())]
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(key, kept, spans, n_bytes, n_removed) of every row of `docs`: kept holds the remaining bytes, spans the removed [begin, end)."""
-    texts, names = ordered(docs, key, text)
+def cut(texts: DataFrame, window: int) -> DataFrame:
+    """(d, *RESULT) of (d, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,13 +367,43 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                     gone.append(len(t) - len(kept[-1]))
                 yield pa.record_batch([part.column(0), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())], ["d", *(n for n, _ in RESULT)])
 
-    out = repeated(texts, window).mapInArrow(run, T.StructType([T.StructField("d", T.LongType()), *(T.StructField(n, t) for n, t in RESULT)]))
-    kind = docs.schema[key].dataType
-    if names is None:
-        return out.select(F.col("d").cast(kind).alias(key), *(n for n, _ in RESULT))
+    return repeated(texts, window).mapInArrow(run, T.StructType([T.StructField("d", T.LongType()), *(T.StructField(n, t) for n, t in RESULT)]))
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """(key, kept, spans, n_bytes, n_removed) of every row of `docs`: kept holds the remaining bytes, spans the removed [begin, end)."""
+    texts, numbers = ordered(docs, key, text)
+    out = cut(texts, window)
+    if numbers is None:
+        return out.select(F.col("d").cast(docs.schema[key].dataType).alias(key), *(n for n, _ in RESULT))
+    names = numbers.select("d", "k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
     return names.join(out, "d").select(F.col("k").alias(key), *(n for n, _ in RESULT))
 
 
+def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
+    """`docs` with the repeated bytes gone from `text`, and its characters counted anew in `size`.
+
+    A character that lost a byte goes whole. Null texts stay null, and every row stays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([b.decode(errors="ignore") for b in batch.column(1).to_pylist()], pa.string())], ["__d", "__text"])
+
+    texts, numbers = ordered(docs, key, text)
+    out = cut(texts, window).select("d", "kept").mapInArrow(run, "__d long, __text string")
+    rest = docs.select(*[c for c in docs.columns if c != text], F.col(text).isNull().alias("__null"), *([] if numbers is None else [F.xxhash64(F.coalesce(text, F.lit(""))).alias("__h")]))
+    if numbers is None:
+        both = rest.join(out, F.col(key).cast("long") == F.col("__d"))
+    else:
+        named = out.join(numbers, out["__d"] == numbers["d"]).select("__text", F.col("k").alias("__k"), F.col("h").alias("__hh"))
+        both = rest.join(named, rest[key].eqNullSafe(named["__k"]) & (rest["__h"] == named["__hh"]))
+    both = both.withColumn(text, F.when(~F.col("__null"), F.col("__text")))
+    if size in docs.columns:
+        both = both.withColumn(size, F.coalesce(F.length(text).cast(docs.schema[size].dataType), F.col(size)))
+    return both.select(*docs.columns)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

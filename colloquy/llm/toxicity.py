@@ -304,6 +304,19 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
+def scored_rows(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Whole rows of `docs`, and `score`."""
+    sent, name, at = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex, docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = scorer_of(name, sent.value)
+        for batch in batches:
+            scores = [scorer.score(t) for t in batch.column(at).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
 _scorers: dict = {}
 
 
