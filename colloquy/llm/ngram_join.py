@@ -31,7 +31,7 @@ from colloquy.llm.common import ASCII_LOWER, ASCII_UPPER, WORD, chunks, table, w
 from colloquy.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, LONGEST, RECALL = 12, 8, 0.998
+TREES, LONGEST, RECALL = 16, 8, 0.9995
 #: Nodes, and shingles of theirs, that one call compares; larger clusters are cut into blocks of half of it.
 TOGETHER, SHINGLES = 3000, 2_000_000
 
