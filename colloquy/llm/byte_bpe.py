@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.common import table, tokenizer_path
+from colloquy.llm.common import chunks, table, tokenizer_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters from which a text is encoded in pieces.
@@ -61,9 +61,9 @@ def encode(docs: DataFrame, ranks_path: str | None = None, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
-        for batch in batches:
-            ids = [encode_text(enc, t or "") for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.size for x in ids], pa.int64())], ["k", "ids", "n_tokens"])
+        for part in (p for b in batches for p in chunks(b, 1)):
+            ids = [encode_text(enc, t or "") for t in part.column(1).to_pylist()]
+            yield pa.record_batch([part.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.size for x in ids], pa.int64())], ["k", "ids", "n_tokens"])
 
     out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, T.StructType([T.StructField("k", kind.dataType), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]))
     return out.withColumnRenamed("k", key)
@@ -84,6 +84,21 @@ def decode(encoded: DataFrame, ranks_path: str | None = None, keep: tuple[str, .
     return encoded.select(*keep).mapInArrow(run, T.StructType([*fields, T.StructField("decoded", T.BinaryType())]))
 
 
+def round_trip(docs: DataFrame, ranks_path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one pass: (key, ids, n_tokens, decoded), the last from the ids alone."""
+    path = ranks_path or tokenizer_path(RANKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(path)
+        for part in (p for b in batches for p in chunks(b, 1)):
+            ids = [encode_text(enc, t or "") for t in part.column(1).to_pylist()]
+            raw = [enc.decode_bytes(x.tolist()) for x in ids]
+            yield pa.record_batch([part.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.size for x in ids], pa.int64()), pa.array(raw, pa.binary())], ["k", "ids", "n_tokens", "decoded"])
+
+    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.BinaryType())])
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema).withColumnRenamed("k", key)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = decode(encode(table(spark, sf_dir, "documents")))
+    both = round_trip(table(spark, sf_dir, "documents"))
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

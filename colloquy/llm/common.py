@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import public_tokenizers
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words of the lower-cased text, as the benchmark and shingle operators take them.
@@ -42,11 +44,23 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of BASE and of its inverse, modulo 2**64; a worker keeps the longest."""
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
+        for b in (BASE, pow(BASE, -1, 1 << 64)):
+            p = np.full(n, b, np.uint64)
+            p[:1] = 1
+            _powers.append(np.multiply.accumulate(p))
+    return _powers[0], _powers[1]
+
+
 def chunks(batch, column: int, limit: int = 1 << 20):
     """Slices of an Arrow batch with about `limit` bytes in a string column, one row at least."""
-    import numpy as np
-    import pyarrow.compute as pc
-
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:

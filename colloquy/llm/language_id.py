@@ -32,7 +32,8 @@ UNKNOWN = "und"
 #: characters taken from the middle of each. Predictions always take whole texts.
 SAMPLE_PER_LABEL, SAMPLE_CHARS, MAX_LABELS = 400, 2000, 64
 HIDDEN, EMBEDDED, SEGMENT = 12, 8, 24
-EPOCHS, BATCH, RATE = 3, 256, 0.01
+#: Passes over the sample, steps at least, segments of a step, rate.
+EPOCHS, STEPS, BATCH, RATE = 3, 300, 256, 0.01
 #: Words that one worker remembers before it starts afresh; bounds its memory, never its results.
 REMEMBERED = 800_000
 SPLIT = re.compile(r"[^\W\d_]+")
@@ -218,8 +219,10 @@ def learn(words: Counter, labels: list[str]) -> Network:
     y = (y / y.sum(1, keepdims=True)).astype(np.float32)
     rng, m, v, t = np.random.default_rng(11), {}, {}, 0
     sizes = np.array([len(s) for s in segs])
-    steps = EPOCHS * (len(segs) // BATCH + 1)
-    for _ in range(EPOCHS):
+    a_pass = len(segs) // BATCH + 1
+    epochs = max(EPOCHS, -(-STEPS // a_pass))
+    steps = epochs * a_pass
+    for _ in range(epochs):
         order = rng.permutation(len(segs))
         order = order[np.argsort(sizes[order] // 4, kind="stable")]
         batches = [order[k : k + BATCH] for k in range(0, len(order), BATCH)]

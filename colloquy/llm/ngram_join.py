@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.common import ASCII_LOWER, ASCII_UPPER, WORD, chunks, table, written
+from colloquy.llm import common
+from colloquy.llm.common import ASCII_LOWER, ASCII_UPPER, WORD, chunks, powers, table, written
 from colloquy.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -35,8 +36,7 @@ TREES, LONGEST, RECALL = 16, 8, 0.9995
 #: Nodes, and shingles of theirs, that one call compares; larger clusters are cut into blocks of half of it.
 TOGETHER, SHINGLES = 3000, 2_000_000
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BASE = np.uint64(common.BASE)
 #: Bytes of words, lower-cased; 0 elsewhere. All bytes of non-ASCII characters belong to words.
 WORD_BYTES = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
 
@@ -59,17 +59,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.cache
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse, modulo 2**64."""
-    out = []
-    for b in (BASE, BASE_INVERSE):
-        p = np.full(n, b, np.uint64)
-        p[:1] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, starts): 64-bit hashes of all texts' shingles, repeats included, and where each text's begin."""
     raw = np.frombuffer(b" ".join([b"", *(t or b"" for t in texts), b""]), np.uint8)

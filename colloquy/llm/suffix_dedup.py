@@ -22,7 +22,6 @@ an empty result.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.common import chunks, table, written
+from colloquy.llm.common import BASE, chunks, powers, table, written
 
 WINDOW, GRAM = 100, 16
 #: Text that a task combines equal runs over; different runs of an anchor in it that make the anchor hot.
@@ -41,7 +40,6 @@ HOT_ANCHORS, SALTS = 20_000, 64
 #: Bytes of runs that pass 3 sorts at a time.
 SORTED = 1 << 20
 
-BASE = 0x9E3779B97F4A7C15
 BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
@@ -54,16 +52,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.cache
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (BASE, pow(BASE, -1, 1 << 64)):
-        p = np.full(n, b, np.uint64)
-        p[:1] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     have = 1
     while 2 * have <= n:
@@ -347,8 +335,9 @@ def ordered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
 RESULT = [("kept", T.BinaryType()), ("spans", T.ArrayType(T.ArrayType(T.LongType()))), ("n_bytes", T.LongType()), ("n_removed", T.LongType())]
 
 
-def cut(texts: DataFrame, window: int) -> DataFrame:
-    """(d, *RESULT) of (d, t)."""
+def cut(texts: DataFrame, window: int, as_text: bool = False) -> DataFrame:
+    """(d, *RESULT) of (d, t); as_text: kept is a string without the characters that lost a byte."""
+    kind = pa.string() if as_text else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,9 +354,11 @@ def cut(texts: DataFrame, window: int) -> DataFrame:
                     spans.append([list(x) for x in found])
                     sizes.append(len(t))
                     gone.append(len(t) - len(kept[-1]))
-                yield pa.record_batch([part.column(0), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())], ["d", *(n for n, _ in RESULT)])
+                if as_text:
+                    kept = [k.decode(errors="ignore") for k in kept]
+                yield pa.record_batch([part.column(0), pa.array(kept, kind), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())], ["d", *(n for n, _ in RESULT)])
 
-    return repeated(texts, window).mapInArrow(run, T.StructType([T.StructField("d", T.LongType()), *(T.StructField(n, t) for n, t in RESULT)]))
+    return repeated(texts, window).mapInArrow(run, T.StructType([T.StructField("d", T.LongType()), *(T.StructField(n, T.StringType() if as_text and n == "kept" else t) for n, t in RESULT)]))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -385,13 +376,8 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str
 
     A character that lost a byte goes whole. Null texts stay null, and every row stays.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([b.decode(errors="ignore") for b in batch.column(1).to_pylist()], pa.string())], ["__d", "__text"])
-
     texts, numbers = ordered(docs, key, text)
-    out = cut(texts, window).select("d", "kept").mapInArrow(run, "__d long, __text string")
+    out = cut(texts, window, as_text=True).select(F.col("d").alias("__d"), F.col("kept").alias("__text"))
     rest = docs.select(*[c for c in docs.columns if c != text], F.col(text).isNull().alias("__null"), *([] if numbers is None else [F.xxhash64(F.coalesce(text, F.lit(""))).alias("__h")]))
     if numbers is None:
         both = rest.join(out, F.col(key).cast("long") == F.col("__d"))

@@ -18,6 +18,7 @@ import math
 import re
 import string
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.common import table
+from colloquy.llm.common import chunks, table
 
 #: Bounds of the labelled sample that the classifier is fitted on: rows of each label, by hash order.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 9000
@@ -42,8 +43,9 @@ WINDOW = 8
 QUOTES = frozenset("\"'“”„«»‘’‹›`")
 REPORT = frozenset("said says say called calls quote quoted quotes quoting wrote writes term word words phrase insult slur dit écrit mot citation sagte sagt schrieb wort zitat dijo dice escribió palabra cita".split())
 TRIM = string.punctuation + string.whitespace + "“”„«»‘’‹›…–—·¡¿€§°"
-#: Words that one worker remembers before it starts afresh; bounds its memory, never its results.
-REMEMBERED = 400_000
+#: Words and automaton states that one worker remembers, and terms that it counts, before it starts afresh;
+#: they bound its memory, never its results.
+REMEMBERED, STATES, COUNTED = 200_000, 50_000, 100_000
 
 
 def edits(n: int) -> int:
@@ -54,8 +56,8 @@ def edits(n: int) -> int:
 class Automaton:
     """Levenshtein automata of all terms over their trie, determinised as words need it.
 
-    A state is a set of (trie node, edits so far, last was whole) tuples. A stem accepts as soon as it
-    is spelled, whatever follows; a whole word accepts at the word's end.
+    A state is a set of pairs, trie node and edits so far, packed in a few bytes. A stem accepts as soon
+    as it is spelled, whatever follows; a whole word accepts at the word's end.
     """
 
     def __init__(self, terms: list[tuple[str, bool]]):
@@ -77,8 +79,8 @@ class Automaton:
             (self.stem if stem else self.word)[at] = k
         self.budget[0] = max([0, *(edits(len(t)) for t, _ in terms)])
         self.sizes = [edits(len(t)) for t, _ in terms]
-        self.states: dict[frozenset, int] = {}
-        self.sets: list[frozenset] = []
+        self.states: dict[bytes, int] = {}
+        self.sets: list[bytes] = []
         self.moves: list[dict[str, int]] = []
         self.at_end: list[tuple[int, int] | None] = []
         self.early: list[tuple[int, int] | None] = []
@@ -93,18 +95,18 @@ class Automaton:
                 continue
             best[node] = e
             todo += [(child, e + 1) for child in self.next[node].values()]
-        key = frozenset(best.items())
+        key = array("I", sorted(4 * node + e for node, e in best.items())).tobytes()
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
             for into, of in ((self.at_end, self.word), (self.early, self.stem)):
-                into.append(min(((e, of[n]) for n, e in key if of[n] is not None and e <= self.sizes[of[n]]), default=None))
+                into.append(min(((e, of[n]) for n, e in best.items() if of[n] is not None and e <= self.sizes[of[n]]), default=None))
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
         pairs: set[tuple[int, int]] = set()
-        for node, e in self.sets[state]:
+        for node, e in (divmod(x, 4) for x in array("I", self.sets[state])):
             if c in self.next[node]:
                 pairs.add((self.next[node][c], e))
             pairs.add((node, e + 1))
@@ -144,6 +146,8 @@ class Scorer:
         self.hits: dict[str, tuple[float, str]] = {}
 
     def learn(self, words: set[str]) -> None:
+        if len(self.automaton.sets) > STATES:
+            self.automaton = Automaton(self.model.terms)
         for raw in words:
             word = raw.strip(TRIM)
             if len(word) >= 3 and word not in self.model.spared and (m := self.automaton.match(word)):
@@ -243,12 +247,19 @@ def fit(sample: DataFrame) -> Model:
     """A model from the bounded sample's (text, toxic) rows: its term counts, then weights and curve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(a: Counter, b: Counter) -> pa.RecordBatch:
+            keys = list(a.keys() | b.keys())
+            return pa.record_batch([pa.array(keys, pa.string()), pa.array([a[k] for k in keys], pa.int64()), pa.array([b[k] for k in keys], pa.int64())], ["term", "a", "b"])
+
         counts = Counter[str](), Counter[str]()
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[0 if toxic else 1].update(terms_of(text))
-        keys = list(counts[0].keys() | counts[1].keys())
-        yield pa.record_batch([pa.array(keys, pa.string()), pa.array([counts[0][k] for k in keys], pa.int64()), pa.array([counts[1][k] for k in keys], pa.int64())], ["term", "a", "b"])
+            for part in chunks(batch, 0):
+                for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    counts[0 if toxic else 1].update(terms_of(text))
+                    if len(counts[0]) + len(counts[1]) > COUNTED:
+                        yield rows(*counts)
+                        counts = Counter[str](), Counter[str]()
+        yield rows(*counts)
 
     sample = sample.where("text is not null").select("text", "toxic").repartition(12).persist()  # recomputed if an executor is lost
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
@@ -295,10 +306,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(name, sent.value)
-        for batch in batches:
-            found = [scorer.found(t) for t in batch.column(1).to_pylist()]
+        for part in (p for b in batches for p in chunks(b, 1)):
+            found = [scorer.found(t) for t in part.column(1).to_pylist()]
             z = scorer.model.bias + scorer.model.slope * np.array([math.log1p(sum(w for _, w, _ in f)) for f in found])
-            yield pa.record_batch([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500)))), pa.array([len(f) for f in found], pa.int64())], ["k", "score", "n_hits"])
+            yield pa.record_batch([part.column(0), pa.array(np.where(z > -50, 1 / (1 + np.exp(-np.maximum(z, -50))), 0.0)), pa.array([len(f) for f in found], pa.int64())], ["k", "score", "n_hits"])
 
     schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("score", T.DoubleType()), T.StructField("n_hits", T.LongType())])
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema).withColumnRenamed("k", key)
@@ -310,9 +321,9 @@ def scored_rows(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(name, sent.value)
-        for batch in batches:
-            scores = [scorer.score(t) for t in batch.column(at).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+        for part in (p for b in batches for p in chunks(b, at)):
+            scores = [scorer.score(t) for t in part.column(at).to_pylist()]
+            yield pa.record_batch([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, "score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
