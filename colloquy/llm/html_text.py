@@ -177,7 +177,7 @@ def main_blocks(html: str | None) -> list[str]:
         for i in range(1, len(p.parents)):
             inside[i] |= inside[p.parents[i]]
     kept = np.array([inside[x[2]] for x in p.lines])
-    if not tops:  # no element marks the article: from its first to its last content line
+    if not tops and p.kinds[best] in ("", "html", "body"):  # no element is the article: its first to its last content line
         at = np.flatnonzero(kept & content)
         kept[: at[0] if at.size else 0] = False
         kept[at[-1] + 1 if at.size else kept.size :] = False

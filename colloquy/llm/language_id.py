@@ -253,6 +253,8 @@ class Predictor:
         self.table = np.concatenate([self.table, rows])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.net.labels:
+            return [(UNKNOWN, 0.0)] * len(texts)
         words = [SPLIT.findall((t or "").lower()) for t in texts]
         if len(self.at) > REMEMBERED:
             self.at, self.table = {}, self.table[:0]
@@ -260,7 +262,7 @@ class Predictor:
             self.learn(new)
         out = []
         for ws in words:
-            if not ws or not self.net.labels:
+            if not ws:
                 out.append((UNKNOWN, 0.0))
                 continue
             s = self.table[np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws))].sum(0)
