@@ -139,3 +139,26 @@ def test_lm_distributions_sum_to_one(spark):
 def test_lm_beats_its_base_on_held_out_text(spark):
     rows = [r for r in S.op8_suffix_tree_lm(spark, SF.replace("0.01", "0.1")).collect() if r.held_out]
     assert len(rows) > 50 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_lm_keeps_every_context_that_passes(spark):
+    # over 16000 four-byte contexts that each foretell the next byte; their suffixes are under 5300
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(20_000)]
+    words = list({w[:4]: w for w in words}.values())
+    docs = spark.createDataFrame([(i, " ".join(words[i::20] * 60)) for i in range(20)], "doc_id long, t string")
+    tree = S.grow(S.counts_of(docs))
+    assert len(words) > 16000 and len(tree.logp) > 16000
+
+
+def test_lm_tables_equal_the_tree_in_memory(spark):
+    texts = ["some words come again and some go " * (1 + i % 3) + f"end{i}" for i in range(30)] + ["unseen wördsé go", "", "so"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, t string")
+    flags = docs.select("t", (docs.doc_id < 30).alias("trained"), (docs.doc_id >= 0).alias("scored"))
+    grams = S.gram_counts(S.unit_counts(flags))
+    tree = S.grow(grams, bits=5.0)
+    lp = {r.gram: r.lp for r in S.gram_scores(grams, bits=5.0).collect()}
+    for t in texts:
+        b = S.spelled(S.tokens(t))
+        want = tree.score([b])[S.DEPTH :]
+        assert np.allclose([lp[int.from_bytes(b[i - S.DEPTH : i + 1], "big")] for i in range(S.DEPTH, len(b))], want, atol=1e-9)
