@@ -319,6 +319,14 @@ def char_error_rate(spark, d):
     return metrics.char_error_rate(both, "ref", "hyp").select("item_id", "distance", "cer")
 
 
+@query()
+def text_error_rate(spark, d):
+    """Of whole texts, in code points; char_error_rate asks its SQL's question about the first 120 ASCII characters."""
+    ref = tables.read(spark, d, "benchmark").select("item_id", F.col("text").alias("ref"))
+    hyp = tables.read(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("hyp"))
+    return metrics.char_error_rate(ref.join(hyp, "item_id"), "ref", "hyp").select("item_id", "distance", "cer")
+
+
 @query(f"WITH {LG} SELECT * FROM lg WHERE NOT EXISTS (SELECT 1 FROM lg s WHERE s.predecessor_id = lg.entry_id)")
 def active_ledger(spark, d):
     return ledger.active(tables.ledger(spark, d)).select("target_id", "entry_id", "predecessor_id", "action", "at_us")

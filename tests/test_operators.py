@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import metrics, text
 from colloquy.operators import discourse, graph, intervals, ledger, sequence
+from colloquy.plans import queries
 from colloquy.sources.tables import PHRASES
 
 
@@ -123,3 +124,20 @@ def test_downstream(spark):
 
 def test_timestamp(spark):
     assert spark.range(1).select(text.timestamp(F.lit(3_723_004_999))).first()[0] == "01:02:03.004"
+
+
+def test_text_error_rate_takes_whole_texts(spark, tmp_path):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    pairs = [("a" * 130 + "end", "a" * 130 + "tail"), ("déjà vu 𝄞", "deja vu"), ("same", "same"), ("", "x")]
+    for name, key, i in (("benchmark", "item_id", 0), ("documents", "doc_id", 1)):
+        spark.createDataFrame([(k, p[i]) for k, p in enumerate(pairs)], f"{key} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.item_id: (r.distance, r.cer) for r in queries.QUERIES["text_error_rate"](spark, f"file://{tmp_path}").collect()}
+    want = {k: distance(*p) for k, p in enumerate(pairs)}
+    assert got == {k: (n, round(n / len(pairs[k][0]), 9) if pairs[k][0] else None) for k, n in want.items()}
