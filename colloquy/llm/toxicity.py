@@ -42,6 +42,8 @@ CHANCE, COVER = 14.0, 3
 WINDOW = 8
 QUOTES = frozenset("\"'“”„«»‘’‹›`")
 REPORT = frozenset("said says say called calls quote quoted quotes quoting wrote writes term word words phrase insult slur dit écrit mot citation sagte sagt schrieb wort zitat dijo dice escribió palabra cita".split())
+#: Letter runs: what the lexicon is learned of and matched with.
+LETTERS = re.compile(r"[^\W\d_]{3,}")
 TRIM = string.punctuation + string.whitespace + "“”„«»‘’‹›…–—·¡¿€§°"
 #: Words and automaton states that one worker remembers, and terms that it counts, before it starts afresh;
 #: they bound its memory, never its results.
@@ -143,17 +145,20 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.automaton = model, Automaton(model.terms)
         self.seen: set[str] = set()
-        self.hits: dict[str, tuple[float, str]] = {}
+        self.hits: dict[str, list[tuple[float, str]]] = {}
 
     def learn(self, words: set[str]) -> None:
         if len(self.automaton.sets) > STATES:
             self.automaton = Automaton(self.model.terms)
         for raw in words:
-            word = raw.strip(TRIM)
-            if len(word) >= 3 and word not in self.model.spared and (m := self.automaton.match(word)):
-                self.hits[raw] = (self.model.weights[m[1]] * 0.6 ** m[0], word)
+            # letter runs, of which the lexicon is learned; if none is a hit, all of it, in which other signs are edits
+            if found := self._matched(LETTERS.findall(raw)) or self._matched([raw.strip(TRIM)]):
+                self.hits[raw] = found
         self.seen |= words
 
+    def _matched(self, words: list[str]) -> list[tuple[float, str]]:
+        return [(self.model.weights[m[1]] * 0.6 ** m[0], w) for w in words if len(w) >= 3 and w not in self.model.spared and (m := self.automaton.match(w))]
+
     def found(self, text: str | None) -> list[tuple[int, float, str]]:
         """(position, weight after context, word) of each hit."""
         words = (text or "").lower().split()
@@ -166,12 +171,12 @@ class Scorer:
         at = [i for i, w in enumerate(words) if w in mine]
         out = []
         for k, i in enumerate(at):
-            weight, word = self.hits[words[i]]
             near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
             quoted = words[i][0] in QUOTES and words[i].rstrip(".,;:!?)")[-1:] in QUOTES or self._between(words, i)
             reported = sum(w.strip(TRIM) in REPORT for w in near)
             others = sum(0 < abs(j - i) <= WINDOW for j in at[max(0, k - WINDOW) : k + WINDOW + 1])
-            out.append((i, weight * (0.3 if quoted else 1.0) * (0.6 if reported else 1.0) * (1 + 0.25 * min(others, 4)), word))
+            factor = (0.3 if quoted else 1.0) * (0.6 if reported else 1.0) * (1 + 0.25 * min(others, 4))
+            out += [(i, weight * factor, word) for weight, word in self.hits[words[i]]]
         return out
 
     @staticmethod
@@ -190,20 +195,20 @@ class Scorer:
 
 def terms_of(text: str | None) -> set[str]:
     """The prefixes and, marked by a final blank, whole words of a text."""
-    words = set(re.findall(r"[^\W\d_]{3,}", (text or "").lower()))
+    words = set(LETTERS.findall((text or "").lower()))
     return {w[:k] for w in words for k in range(STEM_MIN, min(len(w), STEM_MAX) + 1)} | {w + " " for w in words}
 
 
-def choose(counts: dict[str, tuple[int, int]], holders: list[set[str]], clean: int) -> list[tuple[str, bool, float]]:
-    """The lexicon (term, is stem, weight) from candidates' (toxic, clean) document counts.
+def choose(counts: dict[str, tuple[int, int]], holders: list[set[str]], clean: int, weight: float = 1.0) -> list[tuple[str, bool, float]]:
+    """The lexicon (term, is stem, weight) from candidates' (toxic, clean) document counts; a clean one counts `weight`.
 
     Candidates must be pure and unlikely by chance. They are taken greedily, as long as enough toxic
     documents gain by them: a document gains from its first COVER terms. So what copies of a toxic
     document share besides its terms isn't learned.
     """
     toxic = len(holders)
-    least, base = max(4, SUPPORT * toxic), toxic / (toxic + clean)
-    pure = {t: a / (a + b) for t, (a, b) in counts.items() if a >= least and a / (a + b) >= PURITY and a * math.log(1 / base) - b * 2 >= CHANCE}
+    least, base = max(4, SUPPORT * toxic), toxic / (toxic + weight * clean)
+    pure = {t: a / (a + b) for t, (a, b) in ((t, (a, weight * b)) for t, (a, b) in counts.items()) if a >= least and a / (a + b) >= PURITY and a * math.log(1 / base) - b * 2 >= CHANCE}
     of: dict[str, set[int]] = {}
     for i, held in enumerate(holders):
         for t in held & pure.keys():
@@ -231,20 +236,23 @@ def choose(counts: dict[str, tuple[int, int]], holders: list[set[str]], clean: i
     return chosen
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Newton's method with a small ridge; classes weigh as they are."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: float = 1.0) -> tuple[float, float]:
+    """Newton's method with a small ridge; a row of class 0 counts `weight`."""
     a = np.stack([np.ones_like(x), x], 1)
-    w = np.zeros(2)
+    w, n = np.zeros(2), np.where(y == 1, 1.0, weight)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
-        step = np.linalg.solve(h, a.T @ (p - y) + 1e-2 * w)
+        h = (a * (n * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
+        step = np.linalg.solve(h, a.T @ (n * (p - y)) + 1e-2 * w)
         w = w - np.clip(step, -5, 5)
     return float(w[0]), float(max(0.0, w[1]))
 
 
-def fit(sample: DataFrame) -> Model:
-    """A model from the bounded sample's (text, toxic) rows: its term counts, then weights and curve."""
+def fit(sample: DataFrame, weight: float = 1.0) -> Model:
+    """A model from the bounded sample's (text, toxic) rows: its term counts, then weights and curve.
+
+    A clean row counts `weight`, so that the classes have their shares of all labels.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(a: Counter, b: Counter) -> pa.RecordBatch:
@@ -270,7 +278,7 @@ def fit(sample: DataFrame) -> Model:
     least = max(4, SUPPORT * toxic)
 
     counted = sample.mapInArrow(run, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    pure = counted.where((F.col("a") >= least) & (F.col("a") >= PURITY * (F.col("a") + F.col("b")))).collect()  # a small part of a bounded sample
+    pure = counted.where((F.col("a") >= least) & (F.col("a") >= PURITY * (F.col("a") + weight * F.col("b")))).collect()  # a small part of a bounded sample
     counts = {r.term: (r.a, r.b) for r in pure}
 
     def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +286,7 @@ def fit(sample: DataFrame) -> Model:
             yield pa.record_batch([pa.array([sorted(terms_of(t) & counts.keys()) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["held"])
 
     holders = [set(r.held) for r in sample.where("toxic = 1").select("text").mapInArrow(holding, "held array<string>").collect()]
-    chosen = choose(counts, holders, clean)
+    chosen = choose(counts, holders, clean, weight)
     model = Model([(t, s) for t, s, _ in chosen], [w for _, _, w in chosen])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,9 +301,9 @@ def fit(sample: DataFrame) -> Model:
     words: dict[str, list[int]] = {}
     for r in measured().select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where("n > a").collect():
         words[r.w] = [r.a, r.n]
-    model.spared = frozenset(w for w, (a, n) in words.items() if a < 0.6 * n)
+    model.spared = frozenset(w for w, (a, n) in words.items() if a < 0.6 * (a + weight * (n - a)))
     x = np.array([(r.mass, r.toxic) for r in measured().select("mass", "toxic").collect()])
-    model.bias, model.slope = logistic(x[:, 0], x[:, 1])
+    model.bias, model.slope = logistic(x[:, 0], x[:, 1], weight)
     sample.unpersist()
     return model
 
@@ -348,7 +356,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where(~held_out()).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     ids = known.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE_TOXIC).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE_CLEAN))
-    return fit(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))  # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids
+    n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    toxic, clean = n.get(1, 0), n.get(0, 0)
+    weight = clean / min(clean, SAMPLE_CLEAN) / (toxic / min(toxic, SAMPLE_TOXIC)) if toxic and clean else 1.0
+    return fit(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), weight)  # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

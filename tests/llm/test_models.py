@@ -102,6 +102,24 @@ def test_toxicity_cases(spark):
     assert {r.score for r in X.score(cases, nothing).collect()} == {0.0}
 
 
+def test_toxicity_sample_keeps_the_true_shares(spark, monkeypatch):
+    rows = [(i, "you vile scumlord " * (i % 3 != 0) + f"word{i}", 1) for i in range(200)] + [(i, 'he said "scumlord" ' * (i % 20 == 0) + f"word{i}", 0) for i in range(200, 2200)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    whole = X.train(docs, labels)
+    monkeypatch.setattr(X, "SAMPLE_CLEAN", 300)
+    part = X.train(docs, labels)
+    assert whole.terms and abs(X.Scorer(part).score("a plain text") - X.Scorer(whole).score("a plain text")) < 0.02
+    x, y = np.array([0.0, 1, 1, 2]), np.array([0.0, 0, 1, 1])
+    assert np.allclose(X.logistic(x, y, 3.0), X.logistic(np.r_[x, x[:2], x[:2]], np.r_[y, y[:2], y[:2]]))
+
+
+def test_toxicity_matches_letter_runs():
+    scorer = X.Scorer(X.Model([("scumlord", True), ("vile", False)], [1.0, 1.0]))
+    for text in ("l'scumlord", "you/scumlord", "such-scumlord.", "scumlord", "sc4mlord"):
+        assert [h[0] for h in scorer.found("x " + text)] == [1], text
+    assert len(scorer.found("vile/scumlord")) == 2 and not scorer.found("a kind day")
+
+
 def lm_truth(docs, training):
     c = Counter()
     split = {k: [*S.tokens(t), S.END] for k, t in docs}
