@@ -5,19 +5,22 @@ go from the most significant digit on, and a pass keeps only suffixes that are n
 
 1. Anchor. A window's first digit is the smallest hash of its GRAM-byte strings, which equal windows
    have at equal offsets. Consecutive windows share it, so only one row per run of windows is shuffled.
+   Frequent strings (`frequent`) come after all others, whatever their hash: a window has one as its
+   anchor only if it holds nothing else, so what surrounds a common passage is told apart at once.
 2. Run. Runs with equal anchors are told apart by the hash of all their bytes. Of equal runs all but
    the first are repeated throughout and need no further pass, so long repeats cost a row per run.
 3. Bytes. Where different runs share an anchor, their windows are sorted by eight bytes at a time, most
    significant first, in numpy; groups of one drop out; those left after WINDOW bytes are equal.
 
-Equal runs are combined before they are shuffled. Anchors that many runs of a task share are hot: their
-runs are dealt by their hash too, and their windows in pass 3 by their first bytes.
+Equal runs of a task are combined before they are shuffled, and frequent anchors' runs are dealt by their
+own hash too. No other string makes up more than 1 in 2**SHARE of all, and EACH in each COMBINED bytes. Within an anchor, runs of equal
+64-bit hashes count as equal.
 
 Bytes of a window that occurred before (in a smaller doc_id, or earlier in the document) are removed;
-what counts is the input, not what is left. Null texts are empty. Rows with one doc_id and different
-texts are ordered by the texts' hashes, null doc_ids come first, and repeated rows count as one document
-and get equal results. Other columns are dropped, so their names cannot clash. An empty table gives
-an empty result.
+what counts is the input, not what is left. Null texts are empty. Long texts are taken whole: a task reads
+them one at a time. Rows with one doc_id and different texts are ordered by the texts' hashes, null doc_ids
+come first, and repeated rows count as one document and get equal results; keys of any type that has an
+order will do. Other columns are dropped, so their names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,17 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.common import BASE, chunks, powers, table, written
+from colloquy.llm.common import BASE, chunks, powers, remove, table, written
 
 WINDOW, GRAM = 100, 16
-#: Text that a task combines equal runs over; different runs of an anchor in it that make the anchor hot.
-COMBINED, HOT = 1 << 23, 32
-#: Hot anchors that are dealt apart, at most; the results don't depend on it.
-HOT_ANCHORS, SALTS = 20_000, 64
+#: Text that a task combines equal runs over, and that it counts strings over; counts from EACH on are told.
+COMBINED, EACH = 1 << 23, 16
+#: A string is frequent that occurs so often, and as one in 2**SHARE of all, so 2**SHARE at most are.
+HOT, SHARE, SALTS = 256, 20, 64
 #: Bytes of runs that pass 3 sorts at a time.
 SORTED = 1 << 20
 
@@ -60,7 +64,45 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - have)], x[n - have :]) if n > have else x
 
 
-def runs(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, ...]:
+class Frequent:
+    """Hashes of frequent strings, with a bit map that answers most lookups."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.unique(np.asarray(hashes, np.uint64))
+        self.mask = np.uint64((1 << max(16, len(self.sorted).bit_length() + 4)) - 1)
+        self.some = np.zeros(int(self.mask) + 1, bool)
+        self.some[self.sorted & self.mask] = True
+
+    def mark(self, h: np.ndarray) -> np.ndarray:
+        """`h` in 63 bits, the top bit set for frequent ones."""
+        out = h >> np.uint64(1)
+        if len(self.sorted):
+            at = np.flatnonzero(self.some[h & self.mask])
+            place = np.minimum(np.searchsorted(self.sorted, h[at]), len(self.sorted) - 1)
+            out[at[self.sorted[place] == h[at]]] |= np.uint64(1 << 63)
+        return out
+
+
+def grams_of(raw: np.ndarray, gram: int) -> np.ndarray:
+    h, have = BYTES[raw], 1
+    while 2 * have <= gram:
+        h = h[:-have] * np.uint64(pow(BASE, have, 1 << 64)) + h[have:]
+        have *= 2
+    if gram > have:
+        h = h[: len(h) - (gram - have)] * np.uint64(pow(BASE, gram - have, 1 << 64)) + h[gram - have :]
+    return mix(h)
+
+
+def anchored(h: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor of each window, text of each window, whether a run begins there); windows stay within a text."""
+    low = sliding_min(h, window - gram + 1)
+    ends = np.cumsum(sizes)
+    of = np.repeat(np.arange(len(sizes)), sizes)[: len(low)]
+    ok = np.arange(len(low)) + window <= ends[of]
+    return low, of, np.r_[True, (low[1:] != low[:-1]) | (of[1:] != of[:-1])] & ok
+
+
+def runs(texts: list[bytes], window: int = WINDOW, frequent: Frequent | None = None) -> tuple[np.ndarray, ...]:
     """(text, start, windows, offset, anchor, content) of every run of windows that share their anchor.
 
     offset: of the anchor's first occurrence in the first window. Texts follow each other in one buffer;
@@ -70,19 +112,10 @@ def runs(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, ...]:
     raw = np.frombuffer(b"".join(texts), np.uint8)
     if raw.size < window:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
-    h, have = BYTES[raw], 1
-    while 2 * have <= gram:
-        h = h[:-have] * np.uint64(pow(BASE, have, 1 << 64)) + h[have:]
-        have *= 2
-    if gram > have:
-        h = h[: len(h) - (gram - have)] * np.uint64(pow(BASE, gram - have, 1 << 64)) + h[gram - have :]
-    h = mix(h)
-    low = sliding_min(h, window - gram + 1)
+    h = (frequent or Frequent(np.zeros(0))).mark(grams_of(raw, gram))
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
-    of = np.repeat(np.arange(len(texts)), sizes)[: len(low)]
-    ok = np.arange(len(low)) + window <= ends[of]
-    new = np.r_[True, (low[1:] != low[:-1]) | (of[1:] != of[:-1])] & ok
+    low, of, new = anchored(h, sizes, window, gram)
     start = np.flatnonzero(new)
     # a run ends before the next one and where windows stop fitting
     fit = np.maximum(ends[of[start]] - window + 1, 0)
@@ -125,32 +158,64 @@ def pack(start: np.ndarray, n: np.ndarray, offset: np.ndarray) -> np.ndarray:
     return start << 16 | n << 8 | offset
 
 
-ANCHORS = "kind int, g long, r long, d long, at long"
+ANCHORS = "again boolean, g long, r long, d long, at long"
+
 
+def frequent_of(texts: DataFrame, window: int, hot: int = HOT, share: int = SHARE) -> Frequent:
+    """Strings of GRAM bytes that occur at least `hot` times and as one in 2**share of all.
+
+    A task counts all strings of COMBINED bytes at a time, by buckets first, and tells those with EACH or more.
+    """
+    gram = min(GRAM, window)
+    buckets = np.uint64((1 << 22) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counts() -> pa.RecordBatch:
+            h = np.concatenate(held)
+            each = min(EACH, hot)
+            place = (h & buckets).astype(np.int64)
+            g, n = np.unique(h[np.bincount(place, minlength=int(buckets) + 1)[place] >= each], return_counts=True)
+            g, n = g[n >= each], n[n >= each]
+            return pa.record_batch([pa.array(np.r_[g.view(np.int64), 0]), pa.array(np.r_[n, len(h)]), pa.array(np.r_[np.zeros(len(g), bool), True])], ["g", "n", "total"])
+
+        for batch in batches:
+            for part in chunks(batch, 0, 1 << 18):
+                raw = np.frombuffer(b"".join(part.column(0).cast(pa.binary()).to_pylist()), np.uint8)
+                if raw.size >= gram:
+                    held.append(grams_of(raw, gram))
+                size += raw.size
+                if size >= COMBINED:
+                    yield counts()
+                    held, size = [], 0
+        if held:
+            yield counts()
 
-def anchors_of(texts: DataFrame, window: int) -> DataFrame:
-    """ANCHORS of (d, t): kind 0, a run; 1, a run that repeats another of its task; 2, a hot anchor."""
+    found = written(texts.select("t").mapInArrow(run, "g long, n long, total boolean").groupBy("g", "total").agg(F.sum("n").alias("n")).where(F.col("total") | (F.col("n") >= hot)), "suffix-frequent")
+    total = found.where("total").first()
+    least = max(hot, (total.n if total else 0) >> share)
+    rows = found.where(~F.col("total") & (F.col("n") >= least)).select("g").toArrow()
+    remove(found)
+    return Frequent(rows["g"].to_numpy().view(np.uint64))
+
+
+def anchors_of(texts: DataFrame, window: int, frequent: Frequent) -> DataFrame:
+    """ANCHORS of (d, t): one row a run; again: it repeats another of its task. Negative g: a frequent string."""
 
     def combined(held: list) -> pa.RecordBatch:
         g, r, d, at = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((at, d, r, g))
         g, r, d, at = g[order], r[order], d[order], at[order]
-        fresh = np.r_[True, g[1:] != g[:-1]]
-        first = fresh | np.r_[True, r[1:] != r[:-1]]
-        hot, n = np.unique(g[first], return_counts=True)
-        hot = hot[n >= HOT]
-        zero = np.zeros(len(hot), np.int64)
-        return pa.record_batch(
-            [pa.array(np.r_[(~first).astype(np.int32), np.full(len(hot), 2, np.int32)]), *(pa.array(x) for x in (np.r_[g, hot].view(np.int64), np.r_[r.view(np.int64), zero], np.r_[d, zero], np.r_[at, zero]))],
-            ["kind", "g", "r", "d", "at"],
-        )
+        first = np.r_[True, (g[1:] != g[:-1]) | (r[1:] != r[:-1])]
+        return pa.record_batch([pa.array(x) for x in (~first, g.view(np.int64), r.view(np.int64), d, at)], ["again", "g", "r", "d", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for part in chunks(batch, 1, 1 << 18):
                 raw = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
-                of, start, n, offset, g, r = runs(raw, window)
+                of, start, n, offset, g, r = runs(raw, window, frequent)
                 if len(g):
                     held.append((g, r, part.column(0).to_numpy()[of], pack(start, n, offset)))
                 size += sum(map(len, raw))
@@ -186,56 +251,73 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: int, enough, size_of=lambd
         yield pa.Table.from_batches(held)
 
 
-FOUND = "removed boolean, hot boolean, g long, d long, at long"
+FOUND = "removed boolean, g long, d long, at long"
 
 
 def compared(anchors: DataFrame) -> DataFrame:
-    """FOUND of runs: those that repeat an earlier run, and first ones that share an anchor with others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in by_group(batches, 2, 200_000):
-            g, r, d, at = (rows[c].to_numpy() for c in ("g", "r", "d", "at"))
-            hot = rows["hot"].to_numpy(zero_copy_only=False)
-            fresh = np.r_[True, g[1:] != g[:-1]]
-            first = fresh | np.r_[True, r[1:] != r[:-1]]
-            group = np.cumsum(fresh) - 1
-            kinds = np.bincount(group[first])[group]
-            keep = ~first | (kinds > 1) | hot
-            yield pa.record_batch([pa.array(x) for x in (~first[keep], hot[keep], g[keep], d[keep], at[keep])], ["removed", "hot", "g", "d", "at"])
-
-    hot = anchors.where("kind = 2").groupBy("g").count().orderBy(F.desc("count"), "g").limit(HOT_ANCHORS).select("g", F.lit(True).alias("hot"))
-    rows = anchors.where("kind = 0").join(F.broadcast(hot), "g", "left").select("g", F.when(F.col("hot"), F.pmod("r", F.lit(SALTS))).otherwise(0).alias("salt"), "r", "d", "at", F.coalesce("hot", F.lit(False)).alias("hot"))
-    return rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "r", "d", "at").mapInArrow(run, FOUND)
+    """FOUND of runs: those that repeat an earlier run, and first ones that share an anchor with others.
 
+    The rows of an anchor stream past: of those read so far only the first is held, until another run shows up.
+    """
 
-SHARED = "g long, digit long, d long, at long, b binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, alone = None, None  # the last row's (g, r), and the only different run of its anchor so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            again = batch.column(0).to_numpy(zero_copy_only=False)
+            g, r, d, at = (batch.column(k).to_numpy() for k in (1, 2, 3, 4))
+            old = last is not None and g[0] == last[0]
+            fresh = np.r_[not old, g[1:] != g[:-1]]
+            first = (fresh | np.r_[not (old and r[0] == last[1]), r[1:] != r[:-1]]) & ~again
+            group = np.cumsum(fresh)  # 0: the group of the last batch's end
+            kinds = np.bincount(group[first], minlength=group[-1] + 1)
+            more = kinds > 1
+            if old:
+                more[0] = alone is None or kinds[0] > 0
+            keep = ~first | more[group] | (g < 0)
+            out = [x[keep] for x in (~first, g, d, at)]
+            if old and alone is not None and more[0]:
+                out = [np.r_[a, x] for a, x in zip(alone, out, strict=True)]
+            if group[-1] > 0 or not old:
+                alone = None
+                held = np.flatnonzero(first & (group == group[-1]))  # the last group may go on
+                if not more[group[-1]] and len(held) and g[-1] >= 0:
+                    alone = (False, g[held[0]], d[held[0]], at[held[0]])
+            elif more[0]:
+                alone = None
+            last = (g[-1], r[-1])
+            yield pa.record_batch([pa.array(out[0].astype(bool)), *(pa.array(x) for x in out[1:])], ["removed", "g", "d", "at"])
+
+    rows = anchors.withColumn("salt", F.when(F.col("g") < 0, F.pmod("r", F.lit(SALTS))).otherwise(0))
+    return rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "r", "again", "d", "at").select("again", "g", "r", "d", "at").mapInArrow(run, FOUND)
+
+
+SHARED = "g long, d long, at long, b binary"
+
+
+def slices(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The byte strings raw[start : start + size] as an Arrow array."""
+    ends = np.cumsum(size)
+    data = raw[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(data)])
 
 
 def bytes_of(runs: DataFrame, texts: DataFrame, window: int) -> DataFrame:
-    """SHARED of each run that shares an anchor: its bytes; those of hot anchors window by window."""
+    """SHARED of each run that shares an anchor: its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [], [], [], [], []
-            for d, t, part in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
-                t = t.encode()
-                for x in part:
-                    start, n, offset = x["at"] >> 16, x["at"] >> 8 & 255, x["at"] & 255
-                    if not x["hot"]:
-                        for o, v in zip(out, (x["g"], 0, d, x["at"], t[start : start + n + window - 1]), strict=True):
-                            o.append(v)
-                        continue
-                    for k in range(n):
-                        b = t[start + k : start + k + window]
-                        digit = 1 + (int.from_bytes(b[:8], "big") * BASE + (offset - k) * 0x94D049BB % (1 << 64)) % ((1 << 63) - 1)
-                        for o, v in zip(out, (x["g"], digit, d, start + k << 16 | 1 << 8, b), strict=True):
-                            o.append(v)
-                if len(out[0]) > 5000:
-                    yield pa.record_batch([*(pa.array(o, pa.int64()) for o in out[:4]), pa.array(out[4], pa.binary())], ["g", "digit", "d", "at", "b"])
-                    out = [], [], [], [], []
-            yield pa.record_batch([*(pa.array(o, pa.int64()) for o in out[:4]), pa.array(out[4], pa.binary())], ["g", "digit", "d", "at", "b"])
-
-    per = runs.where("not removed").groupBy("d").agg(F.collect_list(F.struct("g", "hot", "at")).alias("part"))
+            for part in chunks(batch, 1):
+                texts = part.column(1).cast(pa.binary()).to_pylist()
+                g, at = (part.column(2).flatten().field(k).to_numpy() for k in (0, 1))
+                of = np.repeat(np.arange(len(texts)), pc.list_value_length(part.column(2)).to_numpy())
+                sizes = np.array([len(t) for t in texts], np.int64)
+                begin = (np.cumsum(sizes) - sizes)[of] + (at >> 16)
+                b = slices(np.frombuffer(b"".join(texts), np.uint8), begin, (at >> 8 & 255) + window - 1)
+                yield pa.record_batch([pa.array(g), pa.array(part.column(0).to_numpy()[of]), pa.array(at), b], ["g", "d", "at", "b"])
+
+    per = runs.where("not removed").groupBy("d").agg(F.collect_list(F.struct("g", "at")).alias("part"))
     return texts.join(per, "d").select("d", "t", "part").mapInArrow(run, SHARED)
 
 
@@ -270,9 +352,9 @@ def sorted_windows(shared: DataFrame, window: int) -> DataFrame:
     """REMOVED: windows of SHARED that equal an earlier one, as runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in by_group((p for b in batches for p in chunks(b, 4)), 2, SORTED, lambda b: b.column(4).nbytes):
-            g, digit, d, at = (rows[c].to_numpy() for c in ("g", "digit", "d", "at"))
-            group = np.cumsum(np.r_[True, (g[1:] != g[:-1]) | (digit[1:] != digit[:-1])])
+        for rows in by_group((p for b in batches for p in chunks(b, 3)), 1, SORTED, lambda b: b.column(3).nbytes):
+            g, d, at = (rows[c].to_numpy() for c in ("g", "d", "at"))
+            group = np.cumsum(np.r_[True, g[1:] != g[:-1]])
             bs = rows["b"].to_pylist()
             n = at >> 8 & 255
             which = np.repeat(np.arange(len(n)), n)
@@ -295,7 +377,7 @@ def sorted_windows(shared: DataFrame, window: int) -> DataFrame:
                 count = np.diff(np.r_[new, len(dd)])
             yield pa.record_batch([pa.array(dd[new]), pa.array(pack(start[new], count, np.zeros(len(new), np.int64)))], ["d", "at"])
 
-    return shared.repartition("g", "digit").sortWithinPartitions("g", "digit").mapInArrow(run, REMOVED)
+    return shared.repartition("g").sortWithinPartitions("g").mapInArrow(run, REMOVED)
 
 
 def spans_of(ats: list[int] | np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -310,26 +392,26 @@ def spans_of(ats: list[int] | np.ndarray, window: int = WINDOW) -> list[tuple[in
 
 
 def repeated(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(d, t, ats) of (d, t) with distinct d: ats are the runs of windows that occurred before, or null."""
-    anchors = written(anchors_of(texts, window), "suffix-anchors")
-    found = written(compared(anchors), "suffix-runs")
-    again = anchors.where("kind = 1").select("d", "at").union(found.where("removed").select("d", "at"))
-    again = again.union(sorted_windows(bytes_of(found, texts, window), window))
+    """(d, t, ats) of (d, t) with distinct d: ats are the runs of windows that occurred before, or null.
+
+    Both joins of texts are on d in one plan, so that Spark shuffles the texts once.
+    """
+    found = written(compared(anchors_of(texts, window, frequent_of(texts, window, HOT))), "suffix-runs")
+    again = found.where("removed").select("d", "at").union(sorted_windows(bytes_of(found, texts, window), window))
     return texts.join(again.groupBy("d").agg(F.collect_list("at").alias("ats")), "d", "left").select("d", "t", "ats")
 
 
 def ordered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
-    """((d, t), None) where keys are distinct and not null, with d the key; else d numbers the distinct rows in order, beside (d, k, h, n)."""
+    """((d, t), None) where keys are distinct integers; else d numbers the distinct rows in order, beside (d, k, h, n)."""
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    once = rows.groupBy("k").count().where("count > 1 or k is null").limit(1).count() == 0
-    if once:
-        return rows.select(F.col("k").cast("long").alias("d"), "t"), None
+    whole = isinstance(docs.schema[key].dataType, T.ByteType | T.ShortType | T.IntegerType | T.LongType)
+    if whole and rows.groupBy("k").count().where("count > 1 or k is null").limit(1).count() == 0:
+        return rows.where("k is not null").select(F.col("k").cast("long").alias("d"), "t"), None
     rows = rows.withColumn("h", F.xxhash64("t"))
-    numbers = rows.groupBy("k", "h").count().orderBy(F.col("k").asc_nulls_first(), "h").rdd.zipWithIndex().map(lambda x: (x[0].k, x[0].h, x[1], x[0]["count"]))
-    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("h", T.LongType()), T.StructField("d", T.LongType()), T.StructField("n", T.LongType())])
-    numbers = written(docs.sparkSession.createDataFrame(numbers, schema), "suffix-order")
+    numbers = rows.groupBy("k", "h").agg(F.count("*").alias("n")).orderBy(F.col("k").asc_nulls_first(), "h")
+    numbers = written(numbers.select("k", "h", F.monotonically_increasing_id().alias("d"), "n"), "suffix-order")
     on = rows.k.eqNullSafe(numbers.k) & (rows.h == numbers.h)
-    return written(rows.join(numbers, on).select("d", "t").dropDuplicates(["d"]), "suffix-texts"), numbers
+    return written(rows.join(numbers, on).select("d", "t").dropDuplicates(["d"]), "suffix-texts").where("d is not null"), numbers
 
 
 RESULT = [("kept", T.BinaryType()), ("spans", T.ArrayType(T.ArrayType(T.LongType()))), ("n_bytes", T.LongType()), ("n_removed", T.LongType())]
