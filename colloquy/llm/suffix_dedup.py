@@ -289,7 +289,8 @@ def compared(anchors: DataFrame) -> DataFrame:
             last = (g[-1], r[-1])
             yield pa.record_batch([pa.array(out[0].astype(bool)), *(pa.array(x) for x in out[1:])], ["removed", "g", "d", "at"])
 
-    rows = anchors.withColumn("salt", F.when(F.col("g") < 0, F.pmod("r", F.lit(SALTS))).otherwise(0))
+    # what repeats a run of its task needs no other row: it goes by its document, behind the others of its anchor
+    rows = anchors.withColumn("salt", F.when(F.col("again"), SALTS + F.pmod("d", F.lit(1 << 20))).when(F.col("g") < 0, F.pmod("r", F.lit(SALTS))).otherwise(0))
     return rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "r", "again", "d", "at").select("again", "g", "r", "d", "at").mapInArrow(run, FOUND)
 
 
