@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import written
+from colloquy.llm.common import remove, written
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        now = written(small.where("a <> b").distinct(), "components")
+        now, old = written(small.where("a <> b").distinct(), "components"), now
+        remove(old)
     else:
         raise RuntimeError("components did not converge")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())

@@ -1,18 +1,25 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 Each text is its set of five-word shingles (a text of fewer words: one shingle of all). Texts with
-equal sets are one node. A node has a label of MinHash values in each tree of the forest; labels share
-a node of the tree's sorted prefix trie as far as they agree. Matched prefixes are shortened from the
-longest until pairs at the threshold meet with the target recall, and nodes that share such a prefix in
-any tree are gathered into clusters. Within a cluster the sets themselves decide: every pair is counted,
-so what the forest connects at all is exact. Large clusters are verified block by block.
+equal sets are one node. A node has a label of LONGEST MinHash values in each of TREES trees. The join
+starts from nodes that share whole labels, and shortens the matched prefixes level by level until the
+links found, weighed by the chance of finding a link of their similarity, tell that the target recall is
+reached; the recall is thus measured on the data, and only data with many links near the threshold go deep.
+
+1. Sorted by tree and prefix, nodes that share a prefix are neighbours. Of them, those whose signatures
+   agree in NEAR of 128 places at least are joined; a pair at the threshold fails that in one of 500,000
+   cases, and texts that only share a common passage don't pass it, however many there are.
+2. Clusters are the components of these. Within a cluster the sets themselves decide: every pair is
+   counted, so what the forest connects is exact (up to 64-bit hashes of shingles). Large clusters, and
+   large groups of neighbours, are compared block by block.
 
 No pair is emitted: a task counts each node's links and returns its counts and the smallest node it is
 linked to. Classes are the connected components of the links.
 
-Equal texts are always linked, also those without a word. Null texts have a class of their own. Rows
-with one doc_id count as rows of their own; class_id is the smallest doc_id of the class (null if it has
-none). Other columns are dropped, so their names cannot clash. An empty table gives an empty result.
+Equal texts are always linked, also those without a word. Null texts have a class of their own. Long
+texts are taken whole, one at a time. Rows with one doc_id count as rows of their own; class_id is the
+smallest doc_id of the class (null if it has none). Links at exactly the threshold count. Other columns
+are dropped, so their names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,25 +35,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.llm import common
-from colloquy.llm.common import ASCII_LOWER, ASCII_UPPER, WORD, chunks, powers, table, written
+from colloquy.llm.common import ASCII_LOWER, ASCII_UPPER, WORD, chunks, powers, remove, table, written
 from colloquy.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, LONGEST, RECALL = 16, 8, 0.9995
+#: Trees, values of a label, and the recall at which prefixes are shortened no more.
+TREES, LONGEST, RECALL = 32, 6, 0.99999
+#: Values of each tree in the signature, and how many of all must agree.
+TOLD, NEAR = 4, 80
+#: Neighbours that one call compares by signatures; pairs it compares at a time.
+NEIGHBOURS, PAIRS = 8192, 100_000
 #: Nodes, and shingles of theirs, that one call compares; larger clusters are cut into blocks of half of it.
 TOGETHER, SHINGLES = 3000, 2_000_000
+#: Steps of similarity, from the threshold to 1, that links are counted by.
+STEPS = 20
 
 BASE = np.uint64(common.BASE)
 #: Bytes of words, lower-cased; 0 elsewhere. All bytes of non-ASCII characters belong to words.
 WORD_BYTES = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
 
 
-def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> int:
-    """Shorten the prefix until pairs at the threshold share one in some tree with the target recall."""
-    depth = longest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def chance(similarity: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
+    """That two sets share a prefix of `depth` values in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def recall_of(found: np.ndarray, depth: int, threshold: float = THRESHOLD) -> float:
+    """The recall at `depth` that links, counted by steps of similarity, tell of; 1 where there is none."""
+    low = threshold + (1 - threshold) * np.arange(len(found)) / len(found)
+    return float(found.sum() / (found / chance(low, depth)).sum()) if found.sum() else 1.0
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,34 +103,41 @@ def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 @functools.cache
 def multipliers(n: int) -> np.ndarray:
-    return np.random.default_rng(20).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(20).integers(1, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
 
+def minhashes(hashes: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """(sets, n) MinHash values of the sets that begin at `begin`, none of them empty."""
+    h = (hashes >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((n, len(begin)), np.uint32)
+    v, w = np.empty_like(h), np.empty_like(h)
+    for row, m in zip(out, multipliers(n), strict=True):
+        np.multiply(h, m, out=v)
+        np.right_shift(v, np.uint32(15), out=w)
+        np.bitwise_xor(v, w, out=v)
+        np.multiply(v, np.uint32(0x85EBCA6B), out=v)
+        np.minimum.reduceat(v, begin, out=row)
+    return out.T
 
-def forest(texts: list[bytes | None], trees: int = TREES, depth: int | None = None) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
-    """(digest of each text's shingle set, matched prefix of its label in each tree, number of its shingles)."""
-    depth = depth or prefix_depth(trees=trees)
+
+def forest(texts: list[bytes | None]) -> tuple[list[bytes | None], list[bytes | None], list[bytes | None], np.ndarray]:
+    """(digest of each text's shingle set, its labels tree by tree, its signature, number of its shingles)."""
     hashes, at = shingles(texts)
     ends = np.r_[at[1:], len(hashes)]
-    full = ends > at
-    labels = np.zeros((trees, len(texts)), np.uint64)
-    if full.any():
-        begin = at[full]
-        for t, m in enumerate(multipliers(trees * depth).reshape(trees, depth)):
-            prefix = np.zeros(int(full.sum()), np.uint64)
-            for f in m:
-                v = hashes * f
-                v ^= v >> np.uint64(32)
-                v *= BASE
-                prefix = mix(prefix * BASE + np.minimum.reduceat(v, begin))
-            labels[t, full] = prefix
-    digests = []
+    full = np.flatnonzero(ends > at)
+    labels, signs, digests = [None] * len(texts), [None] * len(texts), []
+    if len(full):
+        values = minhashes(hashes, at[full], TREES * LONGEST).reshape(len(full), TREES, LONGEST)
+        values ^= values >> np.uint32(16)
+        for i, label, sign in zip(full.tolist(), values.astype(">u2"), values[:, :, :TOLD].astype(np.uint8), strict=True):
+            labels[i], signs[i] = label.tobytes(), sign.tobytes()
     for text, a, e in zip(texts, at.tolist(), ends.tolist(), strict=True):
         digests.append(None if text is None else xxhash.xxh3_128_digest(np.unique(hashes[a:e]).tobytes() if e > a else b"\0" + text))
-    return digests, labels.T, ends - at
+    return digests, labels, signs, ends - at
 
 
-def counted(texts: list[bytes], group: np.ndarray, copies: np.ndarray, threshold: float = THRESHOLD, across: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(linked texts, linked rows, first text that links lead to) of each text within its group, exactly.
+def counted(texts: list[bytes], group: np.ndarray, copies: np.ndarray, threshold: float = THRESHOLD, across: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(linked texts, linked rows, first text that links lead to) of each text within its group, exactly; links by STEPS.
 
     across: if given, only pairs with different values count.
     """
@@ -136,7 +160,7 @@ def counted(texts: list[bytes], group: np.ndarray, copies: np.ndarray, threshold
     by = np.argsort(of, kind="stable")
     post, of, many = post[by], of[by], many[by]
     ends = np.searchsorted(of, np.arange(n), "right")
-    texts_n, rows_n, root = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
+    texts_n, rows_n, root, steps = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n), np.zeros(STEPS, np.int64)
     begin = 0
     for i in range(n):
         p, m = post[begin : ends[i]], many[begin : ends[i]]
@@ -153,40 +177,115 @@ def counted(texts: list[bytes], group: np.ndarray, copies: np.ndarray, threshold
         ok = (ids != i) & (c >= threshold * (size[i] + size[ids] - c) - 1e-9)
         if across is not None:
             ok &= across[ids] != across[i]
-        ids = ids[ok]
+        ids, c = ids[ok], c[ok]
         if len(ids):
+            alike = c / (size[i] + size[ids] - c)
+            steps += np.bincount(np.clip((alike - threshold) / (1 - threshold) * STEPS, 0, STEPS - 1).astype(int), minlength=STEPS)
             texts_n[i], rows_n[i] = len(ids), copies[ids].sum()
             roots = np.unique(root[np.r_[i, ids]])
             if len(roots) > 1:
                 root[np.isin(root, roots[1:])] = roots[0]
-    return texts_n, rows_n, root
+    return texts_n, rows_n, root, steps
 
 
 def nodes_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, h, node, labels, n shingles) of each row; labels is null where the text has no word."""
+    """(k, h, node, labels, sign, n shingles) of each row; labels and sign are null where the text has no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, 2):
-                digests, labels, n = forest(part.column(2).cast(pa.binary()).to_pylist())
-                signed = labels.view(np.int64)
-                yield pa.record_batch(
-                    [part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array([x if f else None for x, f in zip(signed, n, strict=True)], pa.list_(pa.int64())), pa.array(n, pa.int64())],
-                    ["k", "h", "node", "labels", "n"],
-                )
-
-    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("h", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("labels", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())])
+            for part in chunks(batch, 2, 1 << 18):
+                digests, labels, signs, n = forest(part.column(2).cast(pa.binary()).to_pylist())
+                yield pa.record_batch([part.column(0), part.column(1), *(pa.array(x, pa.binary()) for x in (digests, labels, signs)), pa.array(n, pa.int64())], ["k", "h", "node", "labels", "sign", "n"])
+
+    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("h", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("node", "labels", "sign")), T.StructField("n", T.LongType())])
     return docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).mapInArrow(run, schema)
 
 
-def clusters_of(nodes: DataFrame) -> DataFrame:
-    """(node, root): the nodes that share a prefix with another, by connected component."""
-    places = nodes.where("labels is not null").select("node", F.posexplode("labels").alias("tree", "prefix"))
-    low = written(places.groupBy("tree", "prefix").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "ngram-prefixes")
-    return components(places.join(low, ["tree", "prefix"]).select(F.col("node").alias("a"), "b"))
+def joined(group: np.ndarray, sign: np.ndarray, near: int) -> np.ndarray:
+    """For each row the first row of its group that pairs of near signatures lead to; rows of a group follow each other."""
+    n = len(group)
+    root = np.arange(n)
+    ends = np.searchsorted(group, group, "right")
+    later = ends - np.arange(n) - 1
+    at = 0
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(np.cumsum(later[at:]), PAIRS, "right")) + at)
+        m = later[at:stop]
+        i = np.repeat(np.arange(at, stop), m)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        ok = (sign[i] == sign[j]).sum(1) >= near
+        pairs = np.unique(np.c_[root[i[ok]], root[j[ok]]], axis=0)
+        if len(pairs):
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while x in up:
+                    x = up[x]
+                return x
+
+            for a, b in pairs.tolist():
+                a, b = sorted((top(a), top(b)))
+                if a != b:
+                    up[b] = a
+            lo = group.searchsorted(group[at])
+            hi = ends[stop - 1]
+            part = root[lo:hi]
+            moved = np.isin(part, list(up))
+            part[moved] = [top(x) for x in part[moved].tolist()]
+        at = stop
+    return root
+
+
+def neighbours(placed: DataFrame, near: int = NEAR) -> DataFrame:
+    """(a, b): edges that connect the nodes of each (place, block, other) with near signatures, one a node at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in (0, 1, 2)], 1)
+            if not len(keys):
+                continue
+            new = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            cuts = np.r_[0, new] if last is not None and (keys[0] != last).any() else new
+            if held and len(cuts) and size + cuts[-1] >= NEIGHBOURS:
+                yield edges([*held, batch.slice(0, int(cuts[-1]))])
+                held, size, batch = [], 0, batch.slice(int(cuts[-1]))
+            held.append(batch)
+            size, last = size + batch.num_rows, keys[-1]
+        if held:
+            yield edges(held)
 
+    def edges(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        keys = np.stack([rows[c].to_numpy() for c in ("place", "block", "other")], 1)
+        group = np.cumsum(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+        sign = np.frombuffer(b"".join(rows["sign"].to_pylist()), np.uint8).reshape(len(group), -1)
+        root = joined(group, sign, near)
+        away = np.flatnonzero(root != np.arange(len(root)))
+        return pa.record_batch([rows["node"].take(pa.array(x)).combine_chunks() for x in (away, root[away])], ["a", "b"])
 
-LINKS = "node binary, low binary, split boolean, n_texts long, n_rows long"
+    dealt = placed.repartition("place", "block", "other").sortWithinPartitions("place", "block", "other", "node")
+    return dealt.select("place", "block", "other", "node", "sign").mapInArrow(run, "a binary, b binary")
+
+
+def clusters_of(nodes: DataFrame, depth: int) -> DataFrame:
+    """(node, root): the nodes that share a prefix of `depth` values, and a near signature, by connected component."""
+    label = f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(labels, {2 * LONGEST} * t + 1, {2 * depth})))"
+    places = nodes.where("labels is not null").select("node", "sign", F.explode(F.expr(label)).alias("place"))
+    some = written(places.groupBy("place").agg(F.count("*").alias("size")).where("size > 1"), "ngram-prefixes")
+    blocks = F.when(F.col("size") <= NEIGHBOURS, 1).otherwise(F.ceil(2 * F.col("size") / NEIGHBOURS)).cast("int")
+    placed = places.join(some.withColumn("blocks", blocks), "place").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.least("mine", "with")).withColumn("other", F.greatest("mine", "with"))
+    edges = written(neighbours(placed), "ngram-edges")
+    remove(some)
+    out = components(edges)
+    remove(edges)
+    return out
+
+
+LINKS = "node binary, low binary, n_texts long, n_rows long, steps array<long>"
 
 
 def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -227,22 +326,16 @@ def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         node = rows["node"].to_pylist()
         # a block against another: only pairs across count; within a block they count in its own call
         across = np.where(block != other, mine, np.arange(len(keys)) + (1 << 40))
-        n_texts, n_rows, root = counted(rows["t"].cast(pa.binary()).to_pylist(), group, rows["copies"].to_numpy(), threshold, across)
-        return pa.record_batch([pa.array(node, pa.binary()), pa.array([node[i] for i in root], pa.binary()), rows["split"].combine_chunks(), pa.array(n_texts), pa.array(n_rows)], ["node", "low", "split", "n_texts", "n_rows"])
+        n_texts, n_rows, root, steps = counted(rows["t"].cast(pa.binary()).to_pylist(), group, rows["copies"].to_numpy(), threshold, across)
+        steps = pa.array([steps if not i else None for i in range(len(node))], pa.list_(pa.int64()))  # the call's, on its first row
+        return pa.record_batch([pa.array(node, pa.binary()), pa.array([node[i] for i in root], pa.binary()), pa.array(n_texts), pa.array(n_rows), steps], ["node", "low", "n_texts", "n_rows", "steps"])
 
-    return members.select("cluster", "block", "other", "mine", "node", "copies", "t", "split").mapInArrow(run, LINKS)
+    return members.select("cluster", "block", "other", "mine", "node", "copies", "t").mapInArrow(run, LINKS)
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, class_id, n_links, n_linked_texts, n_copies) of every row of `docs`.
-
-    n_links counts the other rows whose texts are equal or similar, n_linked_texts the different texts
-    that are similar, n_copies the rows with the same shingle set, the row itself included.
-    """
-    rows = written(nodes_of(docs, key, text), "ngram-nodes")
-    kept = F.min(F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), F.col("h").alias("h"))).alias("r")
-    nodes = written(rows.where("node is not null").groupBy("node").agg(kept, F.count("*").alias("copies"), F.min("labels").alias("labels"), F.min("n").alias("n")), "ngram-sets")
-    clusters = written(clusters_of(nodes), "ngram-clusters")
+def links_of(docs: DataFrame, nodes: DataFrame, key: str, text: str, depth: int) -> DataFrame:
+    """LINKS between nodes that share a prefix of `depth` values in some tree, written."""
+    clusters = written(clusters_of(nodes, depth), "ngram-clusters")
     named = clusters.join(nodes.select("node", "copies", "n", "r.k", "r.h"), "node")
     load = F.greatest(F.count("*") / TOGETHER, F.sum("n") / SHINGLES)
     sizes = named.groupBy("root").agg(F.when(load <= 1, 1).otherwise(F.ceil(2 * load)).cast("int").alias("blocks"))
@@ -251,10 +344,36 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     with_text = members.join(texts, ["kk", "h"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a block meets itself and every other; small clusters are one block
     met = with_text.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.col("root").alias("cluster"), F.least("mine", "with").alias("block"), F.greatest("mine", "with").alias("other"), "mine", "node", "copies", "t", (F.col("blocks") > 1).alias("split")
+        F.col("root").alias("cluster"), F.least("mine", "with").alias("block"), F.greatest("mine", "with").alias("other"), "mine", "node", "copies", "t"
     )
     dealt = met.repartition("cluster", "block", "other").sortWithinPartitions("cluster", "block", "other", "node")
     links = written(verified(dealt), "ngram-links")
+    remove(clusters)
+    return links
+
+
+def linked(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes_of the rows, its different nodes, LINKS): prefixes are shortened until RECALL."""
+    rows = written(nodes_of(docs, key, text), "ngram-nodes")
+    kept = F.min(F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), F.col("h").alias("h"))).alias("r")
+    nodes = written(rows.where("node is not null").groupBy("node").agg(kept, F.count("*").alias("copies"), *(F.min(c).alias(c) for c in ("labels", "sign", "n"))), "ngram-sets")
+    for depth in range(LONGEST, 0, -1):
+        links = links_of(docs, nodes, key, text, depth)
+        found = links.agg(*(F.sum(F.get("steps", F.lit(i))).alias(f"s{i}") for i in range(STEPS))).first()
+        if recall_of(np.array([x or 0 for x in found], float), depth) >= RECALL:
+            break
+        if depth > 1:
+            remove(links)
+    return rows, nodes, links
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class_id, n_links, n_linked_texts, n_copies) of every row of `docs`.
+
+    n_links counts the other rows whose texts are equal or similar, n_linked_texts the different texts
+    that are similar, n_copies the rows with the same shingle set, the row itself included.
+    """
+    rows, nodes, links = linked(docs, key, text)
     counts = links.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_rows").alias("n_rows"))
     roots = components(links.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     of = nodes.select("node", "copies", F.col("r.k").alias("k")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
