@@ -2,17 +2,19 @@
 
 A window is 10 consecutive words of an item, or a whole item of fewer words; a document's word inside
 any occurrence of a window is hit. Windows hold six 5-grams; the smallest of their hashes is the window's
-fingerprint, so equal windows have equal fingerprints and none is missed. Document fingerprints, one a
-run of windows that share it, are joined to the benchmark's; where they meet, the run's windows are
-compared as text. Items under 10 words have no full window; their first words are joined instead.
+fingerprint, so equal windows have equal fingerprints and none is missed. Document windows are joined to
+the benchmark's by fingerprint and text at once. Items under 10 words have no full window; their first
+words take the fingerprint's place.
 
-The benchmark is sent to all tasks only while its counted fingerprints and windows are few (BROADCAST);
-beyond, the same joins shuffle, and carry a run's words instead of the document's. Documents are read
-in place: only hits are shuffled.
+One pass over the documents keeps, beside the number of words, the windows whose fingerprint may occur in
+the benchmark by a bit map of fixed size; a full bit map would let more windows through to the join, and
+changes no result. The join is Spark's to plan: a small benchmark is broadcast, a large one shuffled, where
+a passage that many documents share is split by adaptive execution. Texts are not shuffled. The work grows
+with a text's words, however long it is.
 
 Null texts have no words. Equal (doc_id, text) rows get equal results; rows with one doc_id and different
-texts are judged apart; null doc_ids stay. Other columns of documents are dropped. Without items nothing
-is hit; an empty documents table gives an empty result.
+texts are judged apart; null doc_ids stay. Ties cannot arise. Other columns of documents are dropped.
+Without items nothing is hit; an empty documents table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import ASCII_LOWER, ASCII_UPPER, WORD, WORD_ANY_CASE, table, written
+from colloquy.llm.common import ASCII_LOWER, ASCII_UPPER, WORD, remove, table, written
 
 #: Words of a window and of a hashed gram; 5-grams in a window.
 WINDOW, GRAM = 10, 5
-#: Rows of a benchmark table up to which it is sent to all tasks: about 100 MB.
-BROADCAST = 400_000
+GRAMS = WINDOW - GRAM + 1
+#: Bits of the map of fingerprints, and of that of first words.
+BITS, FIRST_BITS = 1 << 18, 1 << 16
 
 
 def words_of(text: str | Column) -> Column:
@@ -33,87 +36,83 @@ def words_of(text: str | Column) -> Column:
     return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def runs_of(rows: DataFrame) -> DataFrame:
-    """One row per run of windows that share a fingerprint: fp, first (from 0) and count, beside `words`."""
-    per = WINDOW - GRAM + 1
+def hashed(rows: DataFrame) -> DataFrame:
+    """With n, the number of `words`, wh, their hashes, and g, the hashes of the grams from each word on."""
     gram = ", ".join(f"wh[i + {j}]" for j in range(GRAM))
-    least = ", ".join(f"g[i + {j}]" for j in range(per))
     return (
         rows.withColumn("n", F.size("words"))
-        .where(F.col("n") >= WINDOW)
         .withColumn("wh", F.expr("transform(words, w -> xxhash64(w))"))
-        .withColumn("g", F.expr(f"transform(sequence(0, n - {GRAM}), i -> xxhash64({gram}))"))
-        .drop("wh")
-        .withColumn("f", F.expr(f"transform(sequence(0, n - {WINDOW}), i -> least({least}))"))
-        .drop("g")
-        .withColumn("s", F.expr(f"filter(sequence(0, n - {WINDOW}), i -> i = 0 or f[i] <> f[greatest(i - 1, 0)])"))
-        .withColumn("run", F.explode(F.expr(f"transform(s, (first, k) -> struct(f[first] as fp, first, if(k + 1 < size(s), s[least(k + 1, size(s) - 1)], n - {WINDOW - 1}) - first as count))")))
-        .drop("f", "s", "n")
-        .select("*", "run.*")
-        .drop("run")
+        .withColumn("g", F.expr(f"if(n >= {WINDOW}, transform(sequence(0, n - {GRAM}), i -> xxhash64({gram})), cast(array() as array<bigint>))"))
     )
 
 
-def windows_of(runs: DataFrame, at: str = "first") -> DataFrame:
-    """A row per window of each run: p (its first word, from 0), m words, and its text t."""
-    return (
-        runs.withColumn("p", F.explode(F.expr("sequence(0, count - 1)")))
-        .withColumn("t", F.expr(f"array_join(slice(words, {at} + p + 1, {WINDOW}), ' ')"))
-        .withColumn("p", F.col("p") + F.col("first"))
-        .withColumn("m", F.lit(WINDOW))
-    )
+def known_windows(items: DataFrame) -> DataFrame:
+    """(fp, m, t, item_id) of (item_id, words): each window's fingerprint, words and text."""
+    full = f"transform(sequence(0, n - {WINDOW}), w -> struct(array_min(slice(g, w + 1, {GRAMS})) as fp, {WINDOW} as m, array_join(slice(words, w + 1, {WINDOW}), ' ') as t))"
+    short = "array(struct(wh[0] as fp, n as m, array_join(words, ' ') as t))"
+    rows = hashed(items).where("n > 0").withColumn("w", F.explode(F.expr(f"if(n >= {WINDOW}, {full}, {short})")))
+    return rows.select("w.*", "item_id").distinct()
 
 
-def hits(docs: DataFrame, items: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(keys, p, m, t) of every window occurrence in `docs` (keys, words), and the windows (t, item_id).
+def bit_map(known: DataFrame, bits: int) -> Column:
+    """The fingerprints of `known` as a literal of bits / 64 longs."""
+    at = known.select(F.pmod("fp", F.lit(bits)).alias("b"))
+    words = {r.w: r.v for r in at.groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")).collect()}
+    least = -(1 << 63)  # has no literal
+    return F.expr("array(" + ", ".join(f"{v}L" if (v := words.get(i, 0)) != least else f"({least + 1}L - 1L)" for i in range(bits // 64)) + ")")
 
-    `items` has item_id and words.
-    """
-    full = runs_of(items)
-    short = items.where((F.size("words") > 0) & (F.size("words") < WINDOW)).select("item_id", "words", F.size("words").alias("m"))
-    known = written(
-        windows_of(full).select("t", "item_id", "fp", "m", F.lit(None).cast("string").alias("w0")).union(short.select(F.array_join("words", " "), "item_id", F.lit(None).cast("long"), "m", F.element_at("words", 1))).distinct(),
-        "decontaminate-windows",
-    )
-    small = known.count() <= BROADCAST
-    sent = F.broadcast if small else lambda df: df
-    texts = known.select("t").distinct()
-    runs = runs_of(docs)
-    if not small:
-        runs = runs.withColumn("words", F.expr(f"slice(words, first + 1, count + {WINDOW - 1})"))
-    met = runs.join(sent(known.where("fp is not null").select("fp").distinct()), "fp", "left_semi")
-    found = windows_of(met, "first" if small else "0").select(*keys, "p", "m", "t").join(sent(texts), "t", "left_semi")
-    lengths = sorted(r.m for r in known.where("fp is null").select("m").distinct().collect())  # nine at most
+
+def windows_met(docs: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_words, met) of `docs` (keys, words): met holds (fp, p, m, t) of windows that may be known, p their first word."""
+    may = lambda bits, x, n: f"getbit(get({bits}, cast(pmod({x}, {n}) div 64 as int)), cast(pmod({x}, {n}) % 64 as int)) = 1"
+    lengths = sorted(r.m for r in known.where(F.col("m") < WINDOW).select("m").distinct().collect())  # nine at most
+    rows = hashed(docs).withColumn("bits", bit_map(known.where(F.col("m") == WINDOW), BITS)).withColumn("first_bits", bit_map(known.where(F.col("m") < WINDOW), FIRST_BITS))
+    rows = rows.withColumn("at", F.expr(f"filter(sequence(0, size(g)), i -> i < size(g) and {may('bits', 'g[i]', BITS)})"))
+    own = f"filter(sequence(greatest(0, i - {GRAMS - 1}), least(i, n - {WINDOW})), w -> array_min(slice(g, w + 1, {GRAMS})) = g[i])"
+    window = f"struct(g[i] as fp, w as p, {WINDOW} as m, array_join(slice(words, w + 1, {WINDOW}), ' ') as t)"
+    met = f"flatten(transform(at, i -> transform({own}, w -> {window})))"
     if lengths:
-        places = docs.select(*keys, "words", F.posexplode("words").alias("p", "w0"))
-        if not small:
-            places = places.withColumn("words", F.expr(f"slice(words, p + 1, {WINDOW - 1})"))
-        at = "p" if small else "0"
-        some = places.join(sent(known.where("fp is null").select("w0").distinct()), "w0", "left_semi").withColumn("m", F.explode(F.array(*map(F.lit, lengths)))).where(F.expr(f"{at} + m <= size(words)"))
-        found = found.unionByName(some.withColumn("t", F.expr(f"array_join(slice(words, {at} + 1, m), ' ')")).select(*keys, "p", "m", "t").join(sent(texts), "t", "left_semi").select(*keys, "p", "m", "t"))
-    return found.select(*keys, "p", "m", "t"), known.select("t", "item_id").distinct()
+        rows = rows.withColumn("starts", F.expr(f"filter(sequence(0, n), p -> p < n and {may('first_bits', 'wh[p]', FIRST_BITS)})"))
+        of = f"filter(array({', '.join(map(str, lengths))}), m -> p + m <= n)"
+        met = f"concat({met}, flatten(transform(starts, p -> transform({of}, m -> struct(wh[p] as fp, p, m, array_join(slice(words, p + 1, m), ' ') as t)))))"
+    return rows.select(*keys, F.col("n").cast("long").alias("n_words"), F.expr(met).alias("met"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, n_hit, n_items, items_sha256, contaminated) of every row of `docs`."""
+def judged(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(k, h, n_words, n_hit, n_items, items_sha256, contaminated) of every row of `rows` (k, text); h is the text's hash."""
     keys = ["k", "h"]
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
-    found, windows = hits(rows.select(*keys, words_of("text").alias("words")), benchmark.select("item_id", words_of("text").alias("words")), keys)
-    found = written(found, "decontaminate-hits")
+    known = written(known_windows(benchmark.select("item_id", words_of("text").alias("words"))), "decontaminate-windows")
+    docs = rows.select("k", F.xxhash64("text").alias("h"), words_of("text").alias("words"))
+    met = written(windows_met(docs, known, keys), "decontaminate-met")
+    some = met.where("size(met) > 0").select(*keys, F.explode("met").alias("w")).select(*keys, "w.*")
+    found = written(some.join(known.select("fp", "t").distinct(), ["fp", "t"], "left_semi").select(*keys, "p", "m", "t").distinct(), "decontaminate-hits")
     # the words of a document's occurrences, each counted once: sorted by start, what reaches past the last end
     union = "aggregate(s, struct(0 as n, 0 as e), (a, x) -> struct(a.n + greatest(0, x.p + x.m - greatest(a.e, x.p)) as n, greatest(a.e, x.p + x.m) as e), a -> a.n)"
     covered = found.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("p", "m"))).alias("s")).select(*keys, F.expr(union).cast("long").alias("n_hit"))
-    joined = found.select(*keys, "t").distinct().join(windows, "t").select(*keys, F.col("item_id").cast("string").alias("i")).distinct()
+    joined = found.select(*keys, "t").distinct().join(known.select("t", "item_id").distinct(), "t").select(*keys, F.col("item_id").cast("string").alias("i")).distinct()
     of = joined.groupBy(*keys).agg(F.sort_array(F.collect_list("i")).alias("i")).select(*keys, F.size("i").cast("long").alias("n_items"), F.sha2(F.array_join("i", ","), 256).alias("items_sha256"))
     per = covered.withColumn("kk", F.coalesce(F.col("k").cast("string"), F.lit("")))
     of = of.select(F.coalesce(F.col("k").cast("string"), F.lit("")).alias("kk"), F.col("h"), "n_items", "items_sha256")
-    per = per.join(of, ["kk", "h"]).select("kk", "h", "n_hit", "n_items", "items_sha256")
-    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long")
-    base = rows.select("k", "h", n_words.alias("n_words"), F.coalesce(F.col("k").cast("string"), F.lit("")).alias("kk"))
-    out = base.join(per, ["kk", "h"], "left")
+    per = written(per.join(of, ["kk", "h"]).select("kk", "h", "n_hit", "n_items", "items_sha256"), "decontaminate-judged")
+    remove(found)
+    remove(known)
+    out = met.select("k", "h", "n_words", F.coalesce(F.col("k").cast("string"), F.lit("")).alias("kk")).join(per, ["kk", "h"], "left")
     zero = F.lit(0).cast("long")
     n_hit = F.coalesce("n_hit", zero)
-    return out.select(F.col("k").alias(key), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select("k", "h", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_words, n_hit, n_items, items_sha256, contaminated) of every row of `docs`."""
+    out = judged(docs.select(F.col(key).alias("k"), F.col(text).alias("text")), benchmark)
+    return out.select(F.col("k").alias(key), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` whose (key, text) holds no window of the benchmark, with all their columns."""
+    hit = judged(docs.select(F.col(key).alias("k"), F.col(text).alias("text")), benchmark).where("contaminated").select(F.col("k").alias("hit_k"), F.col("h").alias("hit_h")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(text).alias("h"))
+    return rows.join(hit, F.col("k").eqNullSafe(F.col("hit_k")) & (F.col("h") == F.col("hit_h")), "left_anti").select("row.*")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -367,6 +367,26 @@ def linked(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame,
     return rows, nodes, links
 
 
+def classes_of(links: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that have a link."""
+    return components(links.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of `docs`, with all its columns, of each class of equal or similar texts; rows without a text stay.
+
+    It is the row with the smallest key, and of those the one with the smallest hash of its text; rows without
+    a key come last. Of rows that agree in both, one stays. Columns may have any names.
+    """
+    rows, nodes, links = linked(docs, key, text)
+    roots = classes_of(links)
+    of = nodes.select("node", "r").join(roots, "node", "left")
+    first = of.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("r").alias("r")).select(F.col("r.k").alias("kk"), F.col("r.h").alias("hh"))
+    whole = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).isNull().alias("none"))
+    kept = whole.where("not none").join(first, F.col("k").eqNullSafe(F.col("kk")) & (F.col("h") == F.col("hh")), "left_semi").dropDuplicates(["k", "h"])
+    return kept.select("row").union(whole.where("none").select("row")).select("row.*")
+
+
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id, n_links, n_linked_texts, n_copies) of every row of `docs`.
 
@@ -375,7 +395,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
     rows, nodes, links = linked(docs, key, text)
     counts = links.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_rows").alias("n_rows"))
-    roots = components(links.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    roots = classes_of(links)
     of = nodes.select("node", "copies", F.col("r.k").alias("k")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = of.groupBy("root").agg(F.min("k").alias("class_id"))
     known = of.join(classes, "root").join(counts, "node", "left").select("node", "class_id", "copies", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))

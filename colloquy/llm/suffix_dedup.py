@@ -457,20 +457,21 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
     """`docs` with the repeated bytes gone from `text`, and its characters counted anew in `size`.
 
-    A character that lost a byte goes whole. Null texts stay null, and every row stays.
+    A character that lost a byte goes whole. Null texts stay null, and every row stays; columns may have any names.
     """
     texts, numbers = ordered(docs, key, text)
-    out = cut(texts, window, as_text=True).select(F.col("d").alias("__d"), F.col("kept").alias("__text"))
-    rest = docs.select(*[c for c in docs.columns if c != text], F.col(text).isNull().alias("__null"), *([] if numbers is None else [F.xxhash64(F.coalesce(text, F.lit(""))).alias("__h")]))
+    out = cut(texts, window, as_text=True).select("d", "kept")
+    h = F.xxhash64(F.coalesce(text, F.lit(""))) if numbers is not None else F.lit(None)
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("row"), F.col(text).isNull().alias("none"), F.col(key).alias("key"), h.alias("hash"))
     if numbers is None:
-        both = rest.join(out, F.col(key).cast("long") == F.col("__d"))
+        both = rows.join(out, F.col("key").cast("long") == F.col("d"))
     else:
-        named = out.join(numbers, out["__d"] == numbers["d"]).select("__text", F.col("k").alias("__k"), F.col("h").alias("__hh"))
-        both = rest.join(named, rest[key].eqNullSafe(named["__k"]) & (rest["__h"] == named["__hh"]))
-    both = both.withColumn(text, F.when(~F.col("__null"), F.col("__text")))
-    if size in docs.columns:
-        both = both.withColumn(size, F.coalesce(F.length(text).cast(docs.schema[size].dataType), F.col(size)))
-    return both.select(*docs.columns)
+        both = rows.join(out.join(numbers, "d"), F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")))
+    kept = F.when(~F.col("none"), F.col("kept"))
+    of = {c: F.col("row")[c] for c in docs.columns if c != text} | {text: kept}
+    if size in docs.columns and size != key:
+        of[size] = F.coalesce(F.length(kept).cast(docs.schema[size].dataType), F.col("row")[size])
+    return both.select(*(of[c].alias(c) for c in docs.columns))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -323,17 +323,16 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
-def scored_rows(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Whole rows of `docs`, and `score`."""
+def clean_rows(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of `docs` that score under `least`, with all their columns, whatever their names."""
     sent, name, at = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(name, sent.value)
         for part in (p for b in batches for p in chunks(b, at)):
-            scores = [scorer.score(t) for t in part.column(at).to_pylist()]
-            yield pa.record_batch([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, "score"])
+            yield part.filter(pa.array([scorer.score(t) < least for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, docs.schema)
 
 
 _scorers: dict = {}

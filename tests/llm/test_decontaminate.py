@@ -51,7 +51,8 @@ def test_long_items_only_and_large_benchmark(spark, monkeypatch):
     docs, items = cases()
     items = [i for i in items if len(words(i[1])) >= 10]
     assert run(spark, docs, items) == truth(docs, items)
-    monkeypatch.setattr(D, "BROADCAST", 0)
+    for bits in ("BITS", "FIRST_BITS"):  # maps that let nearly all windows through
+        monkeypatch.setattr(D, bits, 64)
     docs, items = cases()
     assert run(spark, docs, items) == truth(docs, items)
 
@@ -60,3 +61,20 @@ def test_empty(spark):
     docs, items = cases()
     assert run(spark, docs[:5], []) == truth(docs[:5], [])
     assert run(spark, [], items) == []
+
+
+def test_very_long_text(spark):
+    rng = random.Random(5)
+    w = [f"w{rng.randrange(5000)}" for _ in range(150_000)]
+    docs = [(1, " ".join(w)), (2, " ".join(w[::-1]))]
+    items = [(1, " ".join(w[70_000:70_040])), (2, " ".join(w[149_997:])), (3, " ".join(w[:10]))]
+    (_, n, n_hit, n_items, _, hit), (_, m, *_) = run(spark, docs, items)
+    assert (n, m) == (150_000, 150_000) and hit and n_items == 3 and n_hit >= 53
+
+
+def test_clean_rows_stay(spark):
+    """A contaminated row takes no other with it that has its doc_id, or none."""
+    item = "one two three four five six seven eight nine ten eleven"
+    df = spark.createDataFrame([(1, item, 0), (1, "clean", 1), (None, item, 2), (None, "clean", 3), (None, None, 4)], "doc_id long, text string, h int")
+    rows = D.uncontaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert rows.columns == df.columns and sorted(r.h for r in rows.collect()) == [1, 3, 4]

@@ -67,3 +67,22 @@ def test_stages_keep_columns_and_take_empty_and_null(spark, tmp_path):
             out = stage(spark, df, folder)
             assert out.columns == docs.columns and out.count() <= n
         assert P.STAGES[-1][1](spark, df, folder).count() == n
+
+
+def test_copies_without_own_key_and_clashing_columns(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    tables(spark, folder, [(1, "x")], [(1, None, None)], [(None, None)])
+    text = "one two three four five six seven"
+    rows = [(1, text, 0.5), (1, text, 0.5), (None, text, 0.1), (None, text, 0.1), (1, "another text of its own that says more", 0.2), (None, None, 0.3), (None, None, 0.3), (3, "", 0.4), (4, "", 0.4)]
+    df = spark.createDataFrame([(k, t, s, 1, 2, 3, 4, 5, 6) for k, t, s in rows], "doc_id long, text string, score double, k int, h int, row int, node int, d int, hit_h int")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, df, folder)
+        assert out.columns == df.columns
+        got = sorted(((r.doc_id, r.text, r.score) for r in out.collect()), key=str)
+        if name == "ngram_join":
+            assert got == sorted([(1, text, 0.5), rows[4], rows[5], rows[6], (3, "", 0.4)], key=str)
+        elif name == "suffix_dedup":
+            assert [x[0] for x in got] == [x[0] for x in sorted(rows, key=str)]
+        else:
+            assert got == sorted(rows, key=str)
+    assert P.STAGES[-1][1](spark, df, folder).count() == len(rows)
