@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,59 @@ def reliability_bins(df: DataFrame, claimed: str, correct: str, bins: int = 5) -
 def char_error_rate(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     d = F.levenshtein(F.col(reference), F.col(hypothesis)).cast("long")
     return df.withColumn("distance", d).withColumn("cer", ratio(d, F.length(reference)))
+
+
+def timing_errors(df: DataFrame, keys: list[str], error: Column) -> DataFrame:
+    """Per keys: rows, rows without a partner, and mean, median and longest error of the others."""
+    rows = df.select(*keys, error.alias("e"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), (F.count("*") - F.count("e")).alias("unmatched"), F.round(F.avg("e"), 3).alias("mean_us"), F.median("e").alias("median_us"), F.max("e").alias("longest_us"))
+
+
+def zipped(a: DataFrame, b: DataFrame, keys: list[str], order: list[str], of_a: str, of_b: str) -> DataFrame:
+    """(keys, of_a, of_b): rows of two sides by their place in order, as far as the shorter goes."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return a.select(*keys, of_a, rank.alias("k")).join(b.select(*keys, of_b, rank.alias("k")), [*keys, "k"]).drop("k")
+
+
+def multiset_scores(reference: DataFrame, system: DataFrame, item: str, label: str) -> DataFrame:
+    """Per label: agreement of the two sides' counts of it on each item."""
+    r = reference.groupBy(item, label).agg(F.count("*").alias("r"))
+    p = system.groupBy(item, label).agg(F.count("*").alias("p"))
+    n = r.join(p, [item, label], "full").na.fill(0, ["r", "p"]).groupBy(label).agg(F.sum(F.least("r", "p")).alias("tp"), F.sum("p").alias("n_p"), F.sum("r").alias("n_r"))
+    tp, n_p, n_r = F.col("tp"), F.col("n_p"), F.col("n_r")
+    return n.select(label, "tp", (n_p - tp).alias("fp"), (n_r - tp).alias("fn"), ratio(tp, n_p).alias("precision"), ratio(tp, n_r).alias("recall"), ratio(2 * tp, n_p + n_r).alias("f1"))
+
+
+def set_agreement(reference: DataFrame, system: DataFrame, item: str, label: str) -> DataFrame:
+    """Items on both sides, those with equal label sets, and the mean Jaccard similarity of the sets."""
+    r = reference.groupBy(item).agg(F.collect_set(label).alias("r"))
+    p = system.groupBy(item).agg(F.collect_set(label).alias("p"))
+    both = r.join(p, item).select(set_jaccard(F.col("r"), F.col("p")).alias("j"))
+    return both.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("j") == 1).cast("long")), F.lit(0)).alias("exact"), F.round(F.avg("j"), 9).alias("mean_jaccard"))
+
+
+def confidence_bands(df: DataFrame, score: str) -> DataFrame:
+    """(band, n): low < 0.5 <= medium < 0.8 <= high, and unavailable; every band has a row."""
+    s = F.col(score)
+    bands = {"low": s < 0.5, "medium": (s >= 0.5) & (s < 0.8), "high": s >= 0.8, "unavailable": s.isNull()}
+    counts = df.agg(*(F.count_if(c).alias(b) for b, c in bands.items()))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).alias("n")) for b in bands))).alias("r")).select("r.*")
+
+
+def activity_class(score: Column) -> Column:
+    return F.when(score >= 0.65, "speech").when(score <= 0.35, "non_speech").otherwise("uncertain")
+
+
+def text_confidence(mean_log_probability: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.exp(mean_log_probability)))
+
+
+def region_severity(confidence: Column, least: float) -> Column:
+    """What a reader should look at: warning under the threshold, information where there is no confidence, else null."""
+    return F.when(confidence.isNull(), "information").when(confidence < least, "warning")
+
+
+def activity_summary(df: DataFrame, key: str = "corpus_id", label: str = "label") -> DataFrame:
+    """Per key and label: intervals, their summed time, and its share of the key's."""
+    n = df.groupBy(key, label).agg(F.count("*").alias("n"), F.sum(F.col("end_us") - F.col("start_us")).alias("total_us"))
+    return n.withColumn("share", ratio(F.col("total_us"), F.sum("total_us").over(Window.partitionBy(key))))

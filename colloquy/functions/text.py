@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,6 +73,14 @@ def rule_spans(df: DataFrame, keys: list[str], text: str, acts: int = ACTS) -> D
     return df.select(*keys, text).mapInArrow(run, schema)
 
 
+TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
+
+
+def normalized_tokens(text: str | None) -> list[str]:
+    """Compatibility-composed, case-folded words with inner apostrophes."""
+    return TOKEN.findall(unicodedata.normalize("NFKC", text or "").casefold())
+
+
 def timestamp(us: Column) -> Column:
     """HH:MM:SS.mmm of microseconds, rounded down."""
     ms = F.floor(us / 1000)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.text import token_estimate
+
 #: Earlier positions that an answer may answer, and questions kept of them.
 REACH, NEAREST = 20, 5
 
@@ -43,7 +45,7 @@ def preceding_context(utterances: DataFrame, n: int, same_speaker: bool = False)
     """(corpus_id, pos, members, tokens): the n utterances before each, of all speakers or its own."""
     keys = ["corpus_id", "speaker"] if same_speaker else ["corpus_id"]
     w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(-n, -1)
-    rows = utterances.withColumn("tokens", F.greatest(F.lit(1), F.ceil(F.length("text") / 4)).cast("long"))
+    rows = utterances.withColumn("tokens", token_estimate(F.col("text")))
     return rows.select("corpus_id", "pos", F.count("pos").over(w).alias("members"), F.coalesce(F.sum("tokens").over(w), F.lit(0)).cast("long").alias("context_tokens"), F.min("pos").over(w).alias("first_pos"))
 
 

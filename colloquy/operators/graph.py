@@ -16,16 +16,32 @@ def overlap_groups(df: DataFrame, key: str = "corpus_id", tie: str = "pos") -> D
     return rows.withColumn("lane", lane)
 
 
-#: Stages and what each needs, of the discourse recovery graph.
-STAGES = [("observations", "utterances"), ("candidates", "observations"), ("acts", "candidates"), ("questions", "acts"), ("answers", "questions"), ("arguments", "acts"), ("lexical", "acts"), ("procedural", "acts"), ("evaluation", "answers"), ("evaluation", "arguments"), ("evaluation", "lexical"), ("evaluation", "procedural"), ("export", "evaluation")]
+#: The stages of the discourse recovery graph and those that depend on each directly.
+STAGES = {
+    "deterministic_classification": ("evidence_span_normalization",),
+    "provider_analysis": ("evidence_span_normalization",),
+    "evidence_span_normalization": ("candidate_consolidation",),
+    "candidate_consolidation": ("question_construction", "objection_rebuttal_linking", "definition_example", "procedural_state", "review_assembly", "correction_propagation"),
+    "question_construction": ("answer_linking",),
+    "answer_linking": ("controlled_evaluation", "corpus_export"),
+    "objection_rebuttal_linking": ("concession_qualification",),
+    "concession_qualification": ("controlled_evaluation", "corpus_export"),
+    "definition_example": ("controlled_evaluation", "corpus_export"),
+    "procedural_state": ("controlled_evaluation", "corpus_export"),
+    "review_assembly": ("controlled_evaluation", "corpus_export"),
+    "correction_propagation": ("controlled_evaluation", "corpus_export"),
+    "controlled_evaluation": ("corpus_export",),
+}
 
 
 def downstream(spark: SparkSession, edges: DataFrame | None = None) -> DataFrame:
     """(stage, affected): every stage with all that depends on it, by a recursive query."""
-    e = edges if edges is not None else spark.createDataFrame([(b, a) for a, b in STAGES], "src string, dst string")
-    e.createOrReplaceTempView("colloquy_stage_edges")
-    return spark.sql("""
+    e = edges if edges is not None else spark.createDataFrame([(a, b) for a, after in STAGES.items() for b in after], "src string, dst string")
+    return spark.sql(
+        """
         WITH RECURSIVE r(stage, affected) AS (
-            SELECT src, dst FROM colloquy_stage_edges
-            UNION ALL SELECT r.stage, e.dst FROM r JOIN colloquy_stage_edges e ON r.affected = e.src
-        ) SELECT DISTINCT stage, affected FROM r""")
+            SELECT src, dst FROM {e}
+            UNION ALL SELECT r.stage, e.dst FROM r JOIN {e} e ON r.affected = e.src
+        ) SELECT DISTINCT stage, affected FROM r""",
+        e=e,
+    )

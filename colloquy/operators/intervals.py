@@ -88,15 +88,22 @@ def chunk_plan(spark: SparkSession, duration_us: int, target_us: int, overlap_us
     return rows.select("ordinal", start.alias("start_us"), end.alias("end_us"), F.when(F.col("ordinal") == 0, F.lit(0)).otherwise(start + half).cast("long").alias("own_start_us"), F.when(last, F.lit(duration_us)).otherwise(start + step + half).cast("long").alias("own_end_us"), (last & (end - start < target_us)).alias("terminal_short"))
 
 
-def owned_by(points: DataFrame, chunks: DataFrame, at: str) -> DataFrame:
-    """Points with the ordinal of the chunk that owns them; a plan is a few rows for each recording."""
-    return points.join(F.broadcast(chunks.select("ordinal", "own_start_us", "own_end_us")), (F.col(at) >= F.col("own_start_us")) & (F.col(at) < F.col("own_end_us")))
+def owned_by(points: DataFrame, at: str, duration_us: int, target_us: int, overlap_us: int) -> DataFrame:
+    """Points with the ordinal of the chunk of chunk_plan that owns them, by division; points outside the recording go."""
+    step = target_us - overlap_us
+    last = max(1, -(-(duration_us - overlap_us) // step)) - 1
+    ordinal = F.least(F.greatest(F.floor((F.col(at) - overlap_us // 2) / step), F.lit(0)), F.lit(last)).cast("long")
+    return points.where((F.col(at) >= 0) & (F.col(at) < duration_us)).withColumn("ordinal", ordinal)
+
 
+def map_interval(df: DataFrame, offset_us: int, low_us: int, high_us: int, breaks: tuple[int, ...] = ()) -> DataFrame:
+    """Source time from corpus time by one offset: exact, clipped to the bounds, discontinuous or unavailable.
 
-def map_interval(df: DataFrame, offset_us: int, low_us: int, high_us: int) -> DataFrame:
-    """Source time from corpus time by one offset: exact, clipped to the bounds, or unavailable."""
+    An interval with one of the recording's few `breaks` inside is discontinuous, clipped or not.
+    """
     s, e = F.col("start_us") + offset_us, F.col("end_us") + offset_us
-    status = F.when((e <= low_us) | (s >= high_us), "unavailable").when((s < low_us) | (e > high_us), "clipped").otherwise("exact")
+    broken = F.exists(F.array(*map(F.lit, breaks)), lambda b: (b > s) & (b < e)) if breaks else F.lit(False)
+    status = F.when((e <= low_us) | (s >= high_us), "unavailable").when(broken, "discontinuous").when((s < low_us) | (e > high_us), "clipped").otherwise("exact")
     out = df.withColumn("mapping", status)
     gone = F.col("mapping") == "unavailable"
     return out.withColumn("source_start_us", F.when(~gone, F.greatest(s, F.lit(low_us)))).withColumn("source_end_us", F.when(~gone, F.least(e, F.lit(high_us))))

@@ -20,11 +20,12 @@ def runs(df: DataFrame, value: str, key: str = "corpus_id", order: tuple[str, ..
     return df.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("fresh")
 
 
-def demote_short_runs(df: DataFrame, value: str, least: int, to: str, key: str = "corpus_id", order: tuple[str, ...] = ("at_us", "event_id")) -> DataFrame:
-    """`value` of runs with fewer than `least` rows becomes `to`."""
-    r = runs(df, value, key, order)
-    n = F.count("*").over(Window.partitionBy(key, "run"))
-    return r.withColumn(value, F.when(n < least, F.lit(to)).otherwise(F.col(value))).drop("run")
+def demote_short_runs(df: DataFrame, value: str, least_us: int, to: str, key: str = "corpus_id", at: str = "at_us", tie: str = "event_id") -> DataFrame:
+    """`value` of runs that last less than least_us becomes `to`; neighbours aren't merged again."""
+    r = runs(df, value, key, (at, tie))
+    whole = Window.partitionBy(key, "run")
+    lasts = F.max(at).over(whole) - F.min(at).over(whole)
+    return r.withColumn(value, F.when(lasts < least_us, F.lit(to)).otherwise(F.col(value))).drop("run")
 
 
 def adjacency(df: DataFrame, key: str = "corpus_id", tie: str = "pos") -> DataFrame:
@@ -40,23 +41,25 @@ def continuations(df: DataFrame, within_us: int, incomplete: Column, key: str =
     """The next utterance of the same speaker, two positions later or more, that starts within reach of an unfinished one.
 
     Later utterances that start before the unfinished one ends are passed over; the first that doesn't decides.
+    Only starts within reach of an end are joined, by bins of within_us: two for each unfinished utterance.
     """
     w = Window.partitionBy(key).orderBy("start_us", "pos")
     rows = df.withColumn("rank", F.row_number().over(w))
-    left = rows.where(incomplete & F.col(target).isNotNull()).select(key, target, F.col("pos").alias("left_id"), F.col("rank").alias("l_rank"), F.col("end_us").alias("l_end"))
-    right = rows.select(key, target, F.col("pos").alias("right_id"), F.col("rank").alias("r_rank"), F.col("start_us").alias("r_start"))
-    near = left.join(right, [key, target]).where((F.col("r_rank") >= F.col("l_rank") + 2) & (F.col("r_start") >= F.col("l_end")))
-    first = near.groupBy(key, "left_id", "l_end").agg(F.min(F.struct("r_rank", "right_id", "r_start")).alias("f"))
-    gap = F.col("f.r_start") - F.col("l_end")
-    return first.select(key, "left_id", F.col("f.right_id").alias("right_id"), gap.alias("gap_us")).where(F.col("gap_us") <= within_us)
+    first = F.floor(F.col("end_us") / within_us)
+    left = rows.where(incomplete & F.col(target).isNotNull()).select(key, target, F.col("pos").alias("left_id"), F.col("rank").alias("l_rank"), F.col("end_us").alias("l_end"), F.explode(F.array(first, first + 1)).alias("bin"))
+    right = rows.select(key, target, F.col("pos").alias("right_id"), F.col("rank").alias("r_rank"), F.col("start_us").alias("r_start"), F.floor(F.col("start_us") / within_us).alias("bin"))
+    near = left.join(right, [key, target, "bin"]).where((F.col("r_rank") >= F.col("l_rank") + 2) & F.col("r_start").between(F.col("l_end"), F.col("l_end") + within_us))
+    found = near.groupBy(key, "left_id", "l_end").agg(F.min(F.struct("r_rank", "right_id", "r_start")).alias("f"))
+    return found.select(key, "left_id", F.col("f.right_id").alias("right_id"), (F.col("f.r_start") - F.col("l_end")).alias("gap_us"))
 
 
 def nearest_prior(df: DataFrame, is_source: Column, is_target: Column, id_col: str = "event_id", key: str = "corpus_id", order: str = "at_us") -> DataFrame:
-    """For each source row the last target row strictly before it, by one window: no join."""
+    """For each source row the last target rows strictly before it: one window finds their time, an equi-join all that share it."""
     w = Window.partitionBy(key).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
-    prior = F.max(F.when(is_target, F.struct(F.col(order).alias("at"), F.col(id_col).alias("id")))).over(w)
-    out = df.withColumn("prior", prior).where(is_source)
-    return out.select(key, F.col(id_col).alias("source_id"), F.col("prior.id").alias("target_id"), (F.col(order) - F.col("prior.at")).alias("distance_us"))
+    out = df.withColumn("prior", F.max(F.when(is_target, F.col(order))).over(w)).where(is_source)
+    targets = df.where(is_target).select(F.col(key).alias("t_key"), F.col(order).alias("t_at"), F.col(id_col).alias("target_id"))
+    both = out.join(targets, (F.col(key) == F.col("t_key")) & (F.col("prior") == F.col("t_at")), "left")
+    return both.select(key, F.col(id_col).alias("source_id"), "target_id", (F.col(order) - F.col("prior")).alias("distance_us"))
 
 
 def latest_of_kind(df: DataFrame, kinds: list[str], kind: str = "label", id_col: str = "event_id", key: str = "corpus_id", at: str = "at_us") -> DataFrame:
@@ -70,6 +73,12 @@ def top_per_group(df: DataFrame, key: str, order: list[Column], k: int) -> DataF
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def dispositions(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """Rows with `disposition`: the first of each group is selected, the others are rejected."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return df.withColumn("disposition", F.when(rank == 1, "selected").otherwise("rejected"))
+
+
 def owners(candidates: DataFrame, item: list[str], overlap: str = "overlap_us", start: str = "span_start_us", span: str = "span_id") -> DataFrame:
     """The span that owns each item: most overlap, then earliest start, then the larger id; ambiguous if the two best overlap alike."""
     w = Window.partitionBy(*item).orderBy(F.desc(overlap), start, F.desc(span))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import metrics, text
 from colloquy.operators import discourse, graph, intervals, ledger, sequence
 from colloquy.sources import tables
-from colloquy.sources.tables import CL, EV, LG, PT, U, UP
+from colloquy.sources.tables import CL, EV, LG, PT, U
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,7 +68,7 @@ def interval_overlap_pairs(spark, d):
     return intervals.overlap_pairs(ev, ev, BIN_US).where("interval_id_l < interval_id_r").select("corpus_id", "interval_id_l", "interval_id_r", "overlap_us")
 
 
-@query(f"""WITH {EV}, p AS (SELECT * FROM ev WHERE interval_id % 2 = 0), q AS (SELECT * FROM ev WHERE label = 'click'),
+@query(f"""WITH {EV}, p AS (SELECT corpus_id, start_us + 7200000000 AS start_us, end_us + 3600000000 AS end_us FROM ev WHERE end_us - start_us > 3600000000), q AS (SELECT * FROM ev WHERE label = 'click'),
 pi AS (SELECT *, CASE WHEN start_us <= max(end_us) OVER (PARTITION BY corpus_id ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM p),
 pn AS (SELECT *, sum(f) OVER (PARTITION BY corpus_id ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS i FROM pi), pm AS (SELECT corpus_id, min(start_us) AS s, max(end_us) AS e FROM pn GROUP BY corpus_id, i),
 qi AS (SELECT *, CASE WHEN start_us <= max(end_us) OVER (PARTITION BY corpus_id ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM q),
@@ -79,7 +79,9 @@ b AS (SELECT coalesce(pt.corpus_id, qt.corpus_id) AS corpus_id, coalesce(p, 0) A
 SELECT corpus_id, tp AS tp_us, p - tp AS fp_us, r - tp AS fn_us, round(tp / nullif(p, 0), 9) AS precision, round(tp / nullif(r, 0), 9) AS recall, round(2 * tp / nullif(p + r, 0), 9) AS f1 FROM b""")
 def activity_metrics(spark, d):
     ev = tables.intervals(spark, d)
-    return intervals.activity_metrics(ev.where("interval_id % 2 = 0"), ev.where("label = 'click'"), BIN_US)
+    hour = 3_600_000_000
+    late = ev.where(F.col("end_us") - F.col("start_us") > hour).withColumn("start_us", F.col("start_us") + 2 * hour).withColumn("end_us", F.col("end_us") + hour)
+    return intervals.activity_metrics(late, ev.where("label = 'click'"), BIN_US)
 
 
 #: A plan over a thousand hours by ten-hour chunks that overlap by half an hour.
@@ -97,18 +99,19 @@ def chunk_plan(spark, d):
 @query(f"""WITH {PT}, {_PLAN_SQL}, z AS (SELECT min(at_us) AS zero FROM pt) SELECT ordinal, count(*) AS n FROM (SELECT at_us - zero AS at_us FROM pt, z) p JOIN pl ON p.at_us >= own_start_us AND p.at_us < own_end_us GROUP BY ordinal""")
 def chunk_ownership(spark, d):
     p = tables.points(spark, d)
-    zero = p.agg(F.min("at_us").alias("zero"))
-    return intervals.owned_by(p.join(F.broadcast(zero)).withColumn("at_us", F.col("at_us") - F.col("zero")), intervals.chunk_plan(spark, *PLAN), "at_us").groupBy("ordinal").agg(F.count("*").alias("n"))
+    zero = p.agg(F.min("at_us")).first()[0]
+    return intervals.owned_by(p.withColumn("at_us", F.col("at_us") - F.lit(zero)), "at_us", *PLAN).groupBy("ordinal").agg(F.count("*").alias("n"))
 
 
 _MAP = (1_000_000, 1_704_067_200_000_000, 1_705_276_800_000_000)
+_BREAKS = (1_704_412_800_000_000, 1_704_758_400_000_000)
 
 
 @query(f"""WITH {EV}, m AS (SELECT interval_id, start_us + {_MAP[0]} AS s, end_us + {_MAP[0]} AS e FROM ev),
-n AS (SELECT *, CASE WHEN e <= {_MAP[1]} OR s >= {_MAP[2]} THEN 'unavailable' WHEN s < {_MAP[1]} OR e > {_MAP[2]} THEN 'clipped' ELSE 'exact' END AS mapping FROM m)
+n AS (SELECT *, CASE WHEN e <= {_MAP[1]} OR s >= {_MAP[2]} THEN 'unavailable' WHEN {' OR '.join(f'(s < {b} AND e > {b})' for b in _BREAKS)} THEN 'discontinuous' WHEN s < {_MAP[1]} OR e > {_MAP[2]} THEN 'clipped' ELSE 'exact' END AS mapping FROM m)
 SELECT interval_id, mapping, CASE WHEN mapping <> 'unavailable' THEN greatest(s, {_MAP[1]}) END AS source_start_us, CASE WHEN mapping <> 'unavailable' THEN least(e, {_MAP[2]}) END AS source_end_us FROM n""")
 def interval_mapping(spark, d):
-    return intervals.map_interval(tables.intervals(spark, d), *_MAP).select("interval_id", "mapping", "source_start_us", "source_end_us")
+    return intervals.map_interval(tables.intervals(spark, d), *_MAP, _BREAKS).select("interval_id", "mapping", "source_start_us", "source_end_us")
 
 
 @query(f"""WITH {PT}, f AS (SELECT *, CASE WHEN at_us - lag(at_us) OVER (PARTITION BY corpus_id ORDER BY at_us, event_id) <= {GAP_US} THEN 0 ELSE 1 END AS fresh FROM pt),
@@ -128,9 +131,9 @@ def run_length_types(spark, d):
     return sequence.runs(tables.points(spark, d), "label").groupBy("corpus_id", "run", "label").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {PT}, {_RUNS}, c AS (SELECT *, count(*) OVER (PARTITION BY corpus_id, run) AS n FROM r) SELECT corpus_id, event_id, CASE WHEN n < 2 THEN 'uncertain' ELSE label END AS label FROM c")
+@query(f"WITH {PT}, {_RUNS}, c AS (SELECT *, max(at_us) OVER (PARTITION BY corpus_id, run) - min(at_us) OVER (PARTITION BY corpus_id, run) AS lasts FROM r) SELECT corpus_id, event_id, CASE WHEN lasts < {GAP_US} THEN 'uncertain' ELSE label END AS label FROM c")
 def short_run_demotion(spark, d):
-    return sequence.demote_short_runs(tables.points(spark, d), "label", 2, "uncertain").select("corpus_id", "event_id", "label")
+    return sequence.demote_short_runs(tables.points(spark, d), "label", GAP_US, "uncertain").select("corpus_id", "event_id", "label")
 
 
 @query(f"""WITH {U}, n AS (SELECT corpus_id, pos AS left_id, end_us, start_us, lead(pos) OVER w AS right_id, lead(start_us) OVER w AS ns FROM ut WINDOW w AS (PARTITION BY corpus_id ORDER BY start_us, pos))
@@ -147,7 +150,7 @@ def asof_continuation(spark, d):
     return sequence.continuations(tables.utterances(spark, d), 90_000_000, F.expr("length(text) % 2 = 0"))
 
 
-@query(f"""WITH {PT}, p AS (SELECT s.corpus_id, s.event_id AS source_id, t.event_id AS target_id, s.at_us - t.at_us AS distance_us, row_number() OVER (PARTITION BY s.event_id ORDER BY t.at_us DESC, t.event_id DESC) AS k
+@query(f"""WITH {PT}, p AS (SELECT s.corpus_id, s.event_id AS source_id, t.event_id AS target_id, s.at_us - t.at_us AS distance_us, rank() OVER (PARTITION BY s.event_id ORDER BY t.at_us DESC) AS k
 FROM pt s JOIN pt t ON s.corpus_id = t.corpus_id AND t.at_us < s.at_us AND t.label = 'view' WHERE s.label = 'purchase')
 SELECT s.corpus_id, s.event_id AS source_id, target_id, distance_us FROM pt s LEFT JOIN p ON p.source_id = s.event_id AND k = 1 WHERE s.label = 'purchase'""")
 def nearest_prior(spark, d):
@@ -177,8 +180,7 @@ def topk_per_group(spark, d):
 @query("""SELECT p_brand, p_partkey, CASE WHEN rank = 1 THEN 'selected' ELSE 'rejected' END AS disposition FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_type, p_partkey) AS rank FROM part)""")
 def stream_rank(spark, d):
     p = tables.read(spark, d, "part").select("p_brand", "p_partkey", "p_size", "p_type")
-    ranked = sequence.top_per_group(p, "p_brand", [F.desc("p_size"), F.col("p_type"), F.col("p_partkey")], 1 << 30)
-    return ranked.select("p_brand", "p_partkey", F.when(F.col("rank") == 1, "selected").otherwise("rejected").alias("disposition"))
+    return sequence.dispositions(p, "p_brand", [F.desc("p_size"), F.col("p_type"), F.col("p_partkey")]).select("p_brand", "p_partkey", "disposition")
 
 
 #: Spans of half a minute that overlap by five seconds, for owners of words.
@@ -209,22 +211,22 @@ def overlap_components(spark, d):
     return graph.overlap_groups(tables.utterances(spark, d)).select("corpus_id", "pos", "group_no", "lane")
 
 
-@query("WITH RECURSIVE e(src, dst) AS (VALUES " + ", ".join(f"('{b}', '{a}')" for a, b in graph.STAGES) + "), r(stage, affected) AS (SELECT src, dst FROM e UNION SELECT r.stage, e.dst FROM r JOIN e ON r.affected = e.src) SELECT * FROM r")
+@query("WITH RECURSIVE e(src, dst) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, after in graph.STAGES.items() for b in after) + "), r(stage, affected) AS (SELECT src, dst FROM e UNION SELECT r.stage, e.dst FROM r JOIN e ON r.affected = e.src) SELECT * FROM r")
 def downstream_stages(spark, d):
     return graph.downstream(spark)
 
 
-_CONTEXT = "SELECT corpus_id, pos, count(pos) OVER w AS members, CAST(coalesce(sum(greatest(1, CAST(ceil(length(text) / 4) AS BIGINT))) OVER w, 0) AS BIGINT) AS context_tokens, min(pos) OVER w AS first_pos FROM ut WINDOW w AS (PARTITION BY {} ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"
+_CONTEXT = "SELECT corpus_id, pos, count(pos) OVER w AS members, CAST(coalesce(sum(CASE WHEN text = '' THEN 0 ELSE greatest(1, CAST(ceil(length(text) / 4) AS BIGINT)) END) OVER w, 0) AS BIGINT) AS context_tokens, min(pos) OVER w AS first_pos FROM ut WINDOW w AS (PARTITION BY {} ORDER BY pos ROWS BETWEEN {} PRECEDING AND 1 PRECEDING)"
 
 
-@query(f"WITH {U} " + _CONTEXT.format("corpus_id"))
+@query(f"WITH {U} " + _CONTEXT.format("corpus_id", 4))
 def context_preceding(spark, d):
-    return discourse.preceding_context(tables.utterances(spark, d), 3)
+    return discourse.preceding_context(tables.utterances(spark, d), 4)
 
 
-@query(f"WITH {U} " + _CONTEXT.format("corpus_id, speaker"))
+@query(f"WITH {U} " + _CONTEXT.format("corpus_id, speaker", 6))
 def context_same_role(spark, d):
-    return discourse.preceding_context(tables.utterances(spark, d), 3, same_speaker=True)
+    return discourse.preceding_context(tables.utterances(spark, d), 6, same_speaker=True)
 
 
 @query(f"""WITH {U}, f AS (SELECT *, CASE WHEN lag(speaker) OVER (PARTITION BY corpus_id ORDER BY pos) = speaker THEN 0 ELSE 1 END AS fresh FROM ut), r AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY corpus_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS run FROM f)
@@ -235,11 +237,12 @@ def turn_runs(spark, d):
 
 
 _RULES_SQL = "rl(rule_no, rule, strength, rx) AS (VALUES " + ", ".join("({}, '{}', CAST({} AS DOUBLE), '{}')".format(i, n, s, "(?i)" + p.replace("'", "''")) for i, (n, p, s) in enumerate(text.RULES)) + ")"
-_HITS = f"WITH {UP}, {_RULES_SQL}, h AS (SELECT corpus_id, pos, speaker, rule, split_part(rule, '.', 1) AS family, strength, rule_no FROM up JOIN rl ON regexp_matches(phrase, rx))"
+#: The SQL engine's word boundaries know ASCII only: other characters stand as a letter there.
+_HITS = f"WITH {U}, up AS (SELECT *, regexp_replace(text, '[^\\x00-\\x7F]', 'z', 'g') AS plain FROM ut), {_RULES_SQL}, h AS (SELECT corpus_id, pos, speaker, rule, split_part(rule, '.', 1) AS family, strength, rule_no FROM up JOIN rl ON regexp_matches(plain, rx))"
 
 
 def _hits(spark, d):
-    return text.rule_hits(tables.phrased(spark, d), "phrase")
+    return text.rule_hits(tables.utterances(spark, d), "text")
 
 
 @query(_HITS + " SELECT corpus_id, pos, rule, family, strength FROM h")
@@ -254,7 +257,7 @@ def act_family_counts(spark, d):
 
 @query(_HITS + " SELECT corpus_id, pos FROM up WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.corpus_id = up.corpus_id AND h.pos = up.pos)")
 def unclassified(spark, d):
-    return discourse.unclassified(tables.phrased(spark, d), _hits(spark, d), KEYS).select(*KEYS)
+    return discourse.unclassified(tables.utterances(spark, d), _hits(spark, d), KEYS).select(*KEYS)
 
 
 @query(_HITS + f""", q AS (SELECT DISTINCT corpus_id, pos FROM h WHERE family = 'question'),
@@ -263,7 +266,7 @@ FROM up a JOIN up b ON a.corpus_id = b.corpus_id AND b.pos BETWEEN a.pos - {disc
 WHERE NOT EXISTS (SELECT 1 FROM q z WHERE z.corpus_id = a.corpus_id AND z.pos = a.pos))
 SELECT corpus_id, answer_pos, question_pos, CAST(rank AS INTEGER) AS rank, distance_us FROM c WHERE rank <= {discourse.NEAREST}""")
 def question_answer_links(spark, d):
-    return discourse.question_answers(tables.phrased(spark, d), _hits(spark, d))
+    return discourse.question_answers(tables.utterances(spark, d), _hits(spark, d))
 
 
 @query(_HITS + " SELECT a.corpus_id, a.pos, a.rule AS concession, b.rule AS qualification FROM h a JOIN h b ON a.corpus_id = b.corpus_id AND a.pos = b.pos WHERE a.family = 'concession' AND b.family = 'qualification'")
@@ -281,7 +284,7 @@ def procedural_state(spark, d):
 
 @query()
 def rule_spans(spark, d):
-    return text.rule_spans(tables.phrased(spark, d), KEYS, "phrase")
+    return text.rule_spans(tables.utterances(spark, d), KEYS, "text")
 
 
 @query(f"""WITH {CL}, t AS (SELECT reference, predicted, count(*) AS n FROM cl GROUP BY 1, 2), a AS (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS tp FROM t),
@@ -306,27 +309,21 @@ def reliability_bins(spark, d):
     return metrics.reliability_bins(c, "claimed", "quality")
 
 
-_PLAIN = "left(regexp_replace({}, '[^ -~]', '', 'g'), 120)"
-
-
-@query(f"""WITH p AS (SELECT b.item_id, {_PLAIN.format('b.text')} AS ref, {_PLAIN.format('d.text')} AS hyp FROM benchmark b JOIN documents d ON b.item_id = d.doc_id)
-SELECT item_id, levenshtein(ref, hyp) AS distance, round(levenshtein(ref, hyp) / nullif(length(ref), 0), 9) AS cer FROM p""")
-def char_error_rate(spark, d):
-    def plain(name: str, key: str, to: str) -> DataFrame:
-        return tables.read(spark, d, name).select(F.col(key).alias("item_id"), F.expr("left(regexp_replace(text, '[^ -~]', ''), 120)").alias(to))
-
-    both = plain("benchmark", "item_id", "ref").join(plain("documents", "doc_id", "hyp"), "item_id")
-    return metrics.char_error_rate(both, "ref", "hyp").select("item_id", "distance", "cer")
-
-
 @query()
 def text_error_rate(spark, d):
-    """Of whole texts, in code points; char_error_rate asks its SQL's question about the first 120 ASCII characters."""
+    """Of whole texts, in code points. A SQL engine's levenshtein counts bytes, so a test holds it against brute force."""
     ref = tables.read(spark, d, "benchmark").select("item_id", F.col("text").alias("ref"))
     hyp = tables.read(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("hyp"))
     return metrics.char_error_rate(ref.join(hyp, "item_id"), "ref", "hyp").select("item_id", "distance", "cer")
 
 
+@query()
+def char_error_rate(spark, d):
+    """Whole utterances, in code points, against a hearing that drops every seventh word and takes every fifth for another."""
+    both = tables.utterances(spark, d).withColumn("heard", tables.heard())
+    return metrics.char_error_rate(both, "text", "heard").select("corpus_id", "pos", "distance", "cer")
+
+
 @query(f"WITH {LG} SELECT * FROM lg WHERE NOT EXISTS (SELECT 1 FROM lg s WHERE s.predecessor_id = lg.entry_id)")
 def active_ledger(spark, d):
     return ledger.active(tables.ledger(spark, d)).select("target_id", "entry_id", "predecessor_id", "action", "at_us")
@@ -375,8 +372,8 @@ def ts_render(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """One row per conversation: tagged acts, linked answers, overlapping neighbours."""
-    u = tables.phrased(spark, d)
-    hits = text.rule_hits(u, "phrase")
+    u = tables.utterances(spark, d)
+    hits = text.rule_hits(u, "text")
     acts = hits.groupBy("corpus_id").agg(F.count("*").alias("acts"), F.count_distinct("family").alias("families"))
     links = discourse.question_answers(u, hits).where("rank = 1").groupBy("corpus_id").agg(F.count("*").alias("answers"))
     near = sequence.adjacency(u).groupBy("corpus_id").agg(F.count("*").alias("neighbours"), F.sum((F.col("relation") == "overlapping").cast("long")).alias("overlapping"))

@@ -1,42 +1,13 @@
-"""Normalized evidence tables from raw ones: intervals, utterances, phrases, ledgers, clusters.
+"""Normalized evidence tables from raw ones: intervals, utterances, words, ledgers, clusters.
 
 Times are integer microseconds and intervals are half-open, [start_us, end_us).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Phrases that together fire every discourse rule, with negatives (number, text).
-PHRASES = [
-    (0, "What time is the hearing?"),
-    (1, "Can we move on?"),
-    (2, "You have two minutes remaining."),
-    (3, "Yes, but only after 2022."),
-    (4, "For purposes of this rule, resident means a person living here."),
-    (5, "For example, consider the north district."),
-    (6, "Really?"),
-    (7, "I am not sure."),
-    (8, "This happened."),
-    (9, "Please answer the question."),
-    (10, "The policy caused the delay."),
-    (11, "I deny that claim, probably."),
-    (12, "Where will it be held?"),
-    (13, "Let's move on."),
-    (14, "Time is up."),
-    (15, "I affirm that the record shows a delay."),
-    (16, "Could you clarify if the fee applies?"),
-    (17, "Go ahead, the floor is yours."),
-    (18, "Please stop, your time is up."),
-    (19, "I concede that the cost rose, except for June."),
-    (20, "By access, I mean evening hours."),
-    (21, "Access means an open door."),
-    (22, "Suppose the grant ends tomorrow."),
-    (23, "As a counterexample, the south office closed."),
-]
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,10 +34,18 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("start_us", start.cast("long")).withColumn("end_us", F.col("start_us") + F.col("dur")).drop("dur")
 
 
-def phrased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Utterances with a phrase column, by conversation and turn."""
-    p = spark.createDataFrame(PHRASES, "phrase_no long, phrase string")
-    return utterances(spark, sf_dir).withColumn("phrase_no", (F.col("corpus_id") * 7 + F.col("pos")) % 24).join(F.broadcast(p), "phrase_no")
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(corpus_id, pos, speaker, word_no, word, n_words, start_us, end_us): the words of utterances, each with its even share of the time."""
+    u = utterances(spark, sf_dir).withColumn("ws", F.expr("filter(split(text, '[ \\t\\r\\n]+'), w -> w <> '')")).where("size(ws) > 0")
+    u = u.withColumn("each", F.expr("(end_us - start_us) div size(ws)"))
+    w = u.select("corpus_id", "pos", "speaker", F.size("ws").cast("long").alias("n_words"), F.col("start_us").alias("s"), "each", F.posexplode("ws").alias("i", "word"))
+    at = F.col("s") + F.col("i") * F.col("each")
+    return w.select("corpus_id", "pos", "speaker", (F.col("i") + 1).cast("long").alias("word_no"), "word", "n_words", at.alias("start_us"), (at + F.col("each")).alias("end_us"))
+
+
+def heard(text: str = "text") -> Column:
+    """A transcript of `text` that drops every seventh word and takes every fifth for another."""
+    return F.expr(f"array_join(transform(filter(split({text}, ' '), (w, i) -> i % 7 <> 3), (w, i) -> if(i % 5 = 2, 'word', w)), ' ')")
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,13 +61,15 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("item_id"), F.col("label").alias("reference"), F.when(F.col("vec_id") % 4 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("predicted"))
 
 
-_VALUES = ", ".join("({}, '{}')".format(n, t.replace("'", "''")) for n, t in PHRASES)
 #: The same tables for a SQL engine, as common table expressions.
 EV = "ev AS (SELECT user_id AS corpus_id, event_id AS interval_id, event_type AS label, epoch_us(ts) AS start_us, epoch_us(ts) + CAST(floor(value * 300) AS BIGINT) * 1000000 AS end_us FROM events WHERE floor(value * 300) >= 1)"
 PT = "pt AS (SELECT user_id AS corpus_id, event_id, event_type AS label, epoch_us(ts) AS at_us, value FROM events)"
 U = """u AS (SELECT conv_id AS corpus_id, turn AS pos, role AS speaker, text,
     CAST(coalesce(sum(60000 * length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 300000 * turn - CASE WHEN turn % 3 = 2 THEN 500000 ELSE 0 END AS BIGINT) AS start_us,
     60000 * length(text) AS dur FROM conversations), ut AS (SELECT corpus_id, pos, speaker, text, start_us, start_us + dur AS end_us FROM u)"""
-UP = U + f", up AS (SELECT ut.*, phrase FROM ut JOIN (VALUES {_VALUES}) p(phrase_no, phrase) ON (corpus_id * 7 + pos) % 24 = phrase_no)"
+WD = U + r""", ws AS (SELECT *, list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '') AS ws FROM ut),
+    wn AS (SELECT *, (end_us - start_us) // len(ws) AS each FROM ws WHERE len(ws) > 0),
+    wd AS (SELECT corpus_id, pos, speaker, word_no, ws[word_no] AS word, CAST(len(ws) AS BIGINT) AS n_words, CAST(start_us + (word_no - 1) * each AS BIGINT) AS start_us, CAST(start_us + word_no * each AS BIGINT) AS end_us
+    FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS word_no FROM wn))"""
 LG = "lg AS (SELECT o_custkey AS target_id, o_orderkey AS entry_id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS predecessor_id, o_orderstatus AS action, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS at_us FROM orders)"
 CL = "cl AS (SELECT vec_id AS item_id, label AS reference, CASE WHEN vec_id % 4 = 0 THEN (label + 1) % 10 ELSE label END AS predicted FROM embeddings WHERE label IS NOT NULL)"

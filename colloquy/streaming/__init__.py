@@ -1 +1 @@
-"""Spark-native evidence analytics over recorded discussions."""
+"""Structured Streaming operators."""

@@ -1,9 +1,15 @@
+import os
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import metrics, text
 from colloquy.operators import discourse, graph, intervals, ledger, sequence
 from colloquy.plans import queries
-from colloquy.sources.tables import PHRASES
+from colloquy.sources import tables
+
+SF = "/root/testdata/sf0.001"
 
 
 def rows(df, *cols):
@@ -52,11 +58,16 @@ def test_chunk_plan(spark):
         raise AssertionError
     except ValueError:
         pass
+    p = spark.createDataFrame([(at,) for at in (-1, 0, 597_499_999, 597_500_000, 1_199_999_999, 1_200_000_000)], "at_us long")
+    got = rows(intervals.owned_by(p, "at_us", 1_200_000_000, 600_000_000, 5_000_000), "at_us", "ordinal")
+    assert got == [(at, next(c.ordinal for c in own if c.own_start_us <= at < c.own_end_us)) for at in (0, 597_499_999, 597_500_000, 1_199_999_999)]
 
 
 def test_map_interval(spark):
     df = intervals.map_interval(ivals(spark, [(0, 10), (95, 120), (200, 300), (20, 30)]), 5, 10, 110)
     assert rows(df, "interval_id", "mapping", "source_start_us", "source_end_us")[:3] == [(0, "clipped", 10, 15), (1, "clipped", 100, 110), (2, "unavailable", None, None)]
+    broken = intervals.map_interval(ivals(spark, [(0, 10), (95, 120), (20, 30)]), 5, 10, 110, (12, 105))
+    assert rows(broken, "interval_id", "mapping") == [(0, "discontinuous"), (1, "discontinuous"), (2, "exact")]
 
 
 def points(spark, labels_at):
@@ -67,8 +78,10 @@ def test_sequences(spark):
     p = points(spark, [("a", 0), ("a", 5), ("b", 20), ("a", 21), (None, 22), (None, 23)])
     assert rows(sequence.sessions(p, 10), "event_id", "session") == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 1), (5, 1)]
     assert [r for _, r in rows(sequence.runs(p, "label"), "event_id", "run")] == [0, 0, 1, 2, 3, 3]
-    assert [v for _, v in rows(sequence.demote_short_runs(p, "label", 2, "u"), "event_id", "label")] == ["a", "a", "u", "u", None, None]
+    assert [v for _, v in rows(sequence.demote_short_runs(p, "label", 2, "u"), "event_id", "label")] == ["a", "a", "u", "u", "u", "u"]
     assert rows(sequence.nearest_prior(p, F.col("label") == "b", F.col("label") == "a"), "source_id", "target_id", "distance_us") == [(2, 1, 15)]
+    tied = points(spark, [("a", 0), ("a", 0), ("b", 3)])
+    assert rows(sequence.nearest_prior(tied, F.col("label") == "b", F.col("label") == "a"), "source_id", "target_id", "distance_us") == [(2, 0, 3), (2, 1, 3)]
     assert rows(sequence.latest_of_kind(p, ["a", "b"]), "event_id", "latest_a", "latest_b")[2:4] == [(2, 1, 2), (3, 3, 2)]
 
 
@@ -88,15 +101,85 @@ def test_adjacency_groups_continuations(spark):
     assert rows(sequence.continuations(u, 40, F.lit(True)), "left_id", "right_id", "gap_us") == [(0, 2, 5), (1, 3, 20), (2, 4, 15)]
 
 
-def test_rules_over_the_phrases(spark):
-    df = spark.createDataFrame([(1, n, t) for n, t in PHRASES], "corpus_id long, pos long, phrase string")
+#: One sentence for each rule, in the rules' order, then some that none matches.
+SENTENCES = """I reject that reading of the minutes.
+I affirm that the bridge was open.
+We do not know who signed it.
+The data shows a fall.
+Could you clarify the second point, ma'am.
+Shall we proceed with item four.
+Who paid for the survey?
+Does the fence belong to them?
+There are ninety seconds left.
+I fear time has expired.
+Kindly answer that.
+The floor is yours.
+Let us move on.
+Please stop.
+Granted, but the well was dry.
+I fully agree that it rained.
+Unless it freezes.
+It closed during the flood.
+With the exception of Mondays.
+Perhaps.
+Solely for members.
+For the purposes of this act, vessel means any raft.
+Income is defined as wages.
+Quorum means ten of us.
+Consider the counterexample of Malta.
+Imagine a town without wells.
+As an example, take the mill.
+The mill stood.
+Well then.""".splitlines()
+
+
+def test_rules_over_sentences(spark):
+    df = spark.createDataFrame([(1, n, t) for n, t in enumerate(SENTENCES)] + [(1, 50, "Yes, but only after 2022."), (1, 51, "Go ahead, the floor is yours."), (1, 52, None)], "corpus_id long, pos long, phrase string")
     spans = text.rule_spans(df, ["corpus_id", "pos"], "phrase")
-    assert rows(spans.where("pos = 3"), "rule", "start_off", "end_off") == [("concession.partial", 0, 8), ("qualification.scope", 9, 13), ("qualification.temporal", 14, 24)]
-    assert rows(spans.where("pos = 17"), "start_off", "end_off") == [(0, 8), (10, 28)]
+    assert rows(spans.where("pos = 50"), "rule", "start_off", "end_off") == [("concession.partial", 0, 8), ("qualification.scope", 9, 13), ("qualification.temporal", 14, 24)]
+    assert rows(spans.where("pos = 51"), "start_off", "end_off") == [(0, 8), (10, 28)]
     hits = text.rule_hits(df, "phrase")
     assert rows(hits.select("pos", "rule").distinct(), "pos", "rule") == rows(spans.select("pos", "rule").distinct(), "pos", "rule")
-    assert rows(discourse.unclassified(df, hits, ["corpus_id", "pos"]), "pos") == [(6,), (8,), (10,)]
-    assert hits.select("rule").distinct().count() == len(text.RULES) == 27
+    assert rows(discourse.unclassified(df, hits, ["corpus_id", "pos"]), "pos") == [(27,), (28,), (52,)]
+    found = rows(hits, "pos", "rule")
+    assert all((i, rule) in found for i, (rule, _, _) in enumerate(text.RULES))
+
+
+def test_spans_of_whole_conversations(spark):
+    """The rules' spans over the driver's texts, against plain matching."""
+    if not os.path.isdir(SF):
+        pytest.skip("the driver's tables are not here")
+    rules = [(n, re.compile(p, re.IGNORECASE)) for n, p, _ in text.RULES]
+    want = []
+    for r in tables.utterances(spark, SF).collect():
+        seen = dict.fromkeys((n, m.start(), m.end()) for n, p in rules for m in p.finditer(r.text))
+        want += [(r.corpus_id, r.pos, n, a, b, r.text[a:b]) for n, a, b in list(seen)[: text.ACTS]]
+    assert rows(queries.QUERIES["rule_spans"](spark, SF), "corpus_id", "pos", "rule", "start_off", "end_off", "span") == sorted(want)
+
+
+def test_links_of_acts(spark):
+    said = [("A", "Who paid for it?"), ("B", "The mill."), ("B", "I concede that it rained, except for June."), ("A", "Time is up."), ("B", "Go ahead."), ("A", "There are two minutes left.")]
+    u = spark.createDataFrame([(1, i, s, t, 10 * i, 10 * i + 9) for i, (s, t) in enumerate(said)], "corpus_id long, pos long, speaker string, text string, start_us long, end_us long")
+    hits = text.rule_hits(u, "text")
+    assert rows(discourse.question_answers(u, hits), "answer_pos", "question_pos", "rank", "distance_us") == [(1, 0, 1, 1), (2, 0, 1, 11), (4, 0, 1, 31)]
+    assert rows(discourse.qualified_concessions(hits), "pos", "concession", "qualification") == [(2, "concession.full", "qualification.exception")]
+    assert rows(discourse.procedural_state(hits), "pos", "last_warning", "time_expired", "floor_granted") == [(3, None, True, False), (4, None, True, True), (5, 5, True, True)]
+
+
+def test_char_error_rate_of_whole_texts(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    pairs = [("", ""), ("", "ab"), ("Café au lait " * 30, "Cafe au lait " * 29 + "!"), ("日本語", "日本"), (None, "x")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "item_id long, ref string, hyp string")
+    got = rows(metrics.char_error_rate(df, "ref", "hyp"), "item_id", "distance", "cer")
+    assert got == [(i, None if a is None else distance(a, b), None if not a else round(distance(a, b) / len(a), 9)) for i, (a, b) in enumerate(pairs)]
 
 
 def test_metrics(spark):
@@ -119,7 +202,9 @@ def test_ledger(spark):
 
 def test_downstream(spark):
     got = rows(graph.downstream(spark), "stage", "affected")
-    assert ("utterances", "export") in got and ("export", "utterances") not in got
+    assert ("provider_analysis", "corpus_export") in got and ("corpus_export", "provider_analysis") not in got and ("answer_linking", "concession_qualification") not in got
+    own = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    assert rows(graph.downstream(spark, own), "stage", "affected") == [("a", "b"), ("a", "c"), ("b", "c")]
 
 
 def test_timestamp(spark):
