@@ -2,12 +2,15 @@
 
 The standard library's streaming parser turns a page into lines, one per block. Each line has a
 text-to-tag ratio; the ratios, in page order, are smoothed with a Gaussian kernel and clustered in one
-dimension into content and the rest. The region that holds most content text is the article: its
-`article` or `main` elements, or else the smallest element that holds nearly all of it. Elements whose
-name, role or class says menu, header, footer, sidebar, notice, advert, form or comment are left out.
+dimension into content and the rest. Regions of content lines are the article: every `article` that holds
+one, whole; beside it in `main`, the content lines themselves; without either, all from the first content
+line to the last within the smallest element that holds them all, and the headings just before. What
+tags, roles and classes say only takes out menus, headers, footers, sidebars, notices, adverts, forms and
+comments first; a class never takes out an `article` or `main`.
 
 Null or empty html gives an empty text. Each row stands alone: repeated rows and extra columns change
-nothing, and nothing is shuffled. Nothing in the article is dropped or cut.
+nothing, and nothing is shuffled. Pages are taken whole, however long. Ratios that are all alike make one
+cluster: all lines are content. Nothing in the article is dropped or cut.
 """
 
 from __future__ import annotations
@@ -26,9 +29,10 @@ from colloquy.llm.common import table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr img".split())
-#: Left out with all they hold. Headers and footers count as the page's unless an article holds them.
-SKIP = frozenset("script style noscript template head title nav aside form button select option textarea iframe object svg canvas audio video map dialog menu".split())
-EDGE = frozenset(("header", "footer"))
+#: Left out with all they hold; a header only where no article holds it, as it may hold the title.
+SKIP = frozenset("script style noscript template head title nav aside form button select option textarea iframe object svg canvas audio video map dialog menu footer".split())
+#: What a head may hold; anything else ends it.
+HEAD = frozenset("head title style script meta link base noscript template".split())
 #: Elements that close themselves when the next one opens, so they aren't kept on the stack.
 LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot colgroup optgroup h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -37,20 +41,24 @@ CUE = re.compile(
     re.IGNORECASE,
 )
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+#: Classes of adverts and the like within an article, as whole names or before a hyphen.
+INNER = re.compile(r"(?:^|\s)(?:ads?|adverts?|advertisement|sponsored|promo|newsletter|subscribe|share|sharing|social|related|recommended|comments?|sidebar|breadcrumbs?|popup|modal)(?:$|\s)|(?:^|\s)(?:ads?|adverts?|advertisement|sponsored|cookie)-", re.IGNORECASE)
+OTHER = re.compile(r"comment|repl(?:y|ies)|promo|related|teaser", re.IGNORECASE)
 WIDTH = 1.5
-SHARE = 0.9
+#: Why an element is left out: by its class, by its kind.
+BY_CLASS, BY_KIND = 1, 2
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, element, skipped) for each block, and each element's parent and kind."""
+    """Collects (text, tags, element, heading) for each block that isn't left out, and each element's parent and kind."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        self.stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, element, why it is left out
         self.parents, self.kinds = [-1], [""]
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.text: list[str] = []
-        self.tags, self.articles = 0, 0
+        self.tags, self.articles, self.heading = 0, 0, False
 
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i)
@@ -58,36 +66,53 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
-            if text and not self.stack[-1][2]:
-                self.lines.append((text, self.tags, self.stack[-1][1]))
+            if text:
+                self.lines.append((text, self.tags, self.stack[-1][1], self.heading))
             self.text = []
-        self.tags = 0
+        self.tags, self.heading = 0, False
 
     def handle_starttag(self, tag, attrs):
-        if tag in INLINE:
+        named = dict(attrs)
+        hidden = "hidden" in named or bool(HIDDEN.search(named.get("style") or ""))
+        if tag in INLINE and tag != "img":
             self.tags += 1
+            if hidden or INNER.search(named.get("class") or ""):
+                self.stack.append((tag, self.stack[-1][1], BY_CLASS))
             return
-        if tag == "br" or tag in VOID:
+        if tag in VOID:
             self.tags += 1
             self.text.append(" ")
             return
         self.flush()
         self.tags += 1
-        named = dict(attrs)
-        out = self.stack[-1][2] or tag in SKIP or tag in EDGE and not self.articles or (named.get("role") or "").lower() in ROLES or "hidden" in named or bool(HIDDEN.search(named.get("style") or ""))
-        if not out and tag not in ("body", "html", "article", "main"):
-            out = any(CUE.search(named.get(k) or "") for k in ("class", "id"))
-        elif not out and tag == "article":
-            out = bool(re.search(r"comment|repl(?:y|ies)|promo|related|teaser", f"{named.get('class') or ''} {named.get('id') or ''}", re.IGNORECASE))
+        if tag not in HEAD:
+            for k, (t, _, _) in enumerate(self.stack):
+                if t == "head":
+                    self._pop(k)
+                    break
+        if self.stack[-1][0] in LOOSE and (self.stack[-1][0] in ("p", tag)):  # an open one ends where a block, or its like, begins
+            self._pop(len(self.stack) - 1)
+        role, classes = (named.get("role") or "").lower(), named.get("class") or ""
+        article = tag in ("article", "main") or role in ("main", "article") or named.get("itemprop") == "articleBody"
+        out = self.stack[-1][2]
+        if article and out == BY_CLASS:
+            out = 0
+        if not out and (tag in SKIP or tag == "header" and not self.articles or role in ROLES or hidden):
+            out = BY_KIND
+        if not out and tag == "article" and OTHER.search(f"{classes} {named.get('id') or ''}"):
+            out = BY_KIND
+        elif not out and not article and tag not in ("body", "html"):
+            inside = self.articles or tag in LOOSE
+            if INNER.search(classes) or not inside and any(CUE.search(named.get(k) or "") for k in ("class", "id")):
+                out = BY_CLASS
+        self.heading = tag in ("h1", "h2", "h3")
         if tag in LOOSE and not out:
             return
-        if tag in LOOSE and self.stack[-1][0] == tag:
-            self._pop(len(self.stack) - 1)
-        kind = "article" if tag in ("article", "main") or (named.get("role") or "").lower() in ("main", "article") or named.get("itemprop") == "articleBody" else tag
         self.stack.append((tag, len(self.parents), out))
         self.parents.append(self.stack[-2][1])
+        kind = ("main" if tag == "main" or role == "main" else "article") if article else tag
         self.kinds.append(kind)
-        self.articles += kind == "article"
+        self.articles += kind in ("article", "main")
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag in INLINE:
@@ -98,12 +123,14 @@ class Lines(HTMLParser):
 
     def _pop(self, k: int) -> None:
         for tag, i, _ in self.stack[k:]:
-            self.articles -= self.kinds[i] == "article"
+            self.articles -= tag not in INLINE and self.kinds[i] in ("article", "main")
         del self.stack[k:]
 
     def handle_endtag(self, tag):
         if tag in INLINE:
             self.tags += 1
+            if self.stack[-1][0] == tag:
+                self._pop(len(self.stack) - 1)
             return
         if tag in VOID:
             return
@@ -148,39 +175,34 @@ def main_blocks(html: str | None) -> list[str]:
         return []
     lengths, tags = (np.array([f(x) for x in p.lines], float) for f in (lambda x: len(x[0]), lambda x: x[1]))
     content = content_lines(lengths, tags)
-    mass = np.zeros(len(p.parents))
-    np.add.at(mass, [x[2] for x in p.lines], lengths * (content + 1e-3))
-    for i in range(len(p.parents) - 1, 0, -1):  # children come after their parents
-        mass[p.parents[i]] += mass[i]
-    inside = np.zeros(len(p.parents), bool)
-    outer = np.zeros(len(p.parents), int)  # the outermost article that holds an element, or 0
-    for i in range(1, len(p.parents)):
-        outer[i] = outer[p.parents[i]] or (i if p.kinds[i] == "article" else 0)
-    tops = [i for i in set(outer.tolist()) if i and mass[i] > 0]
-    if tops:
-        most = max(mass[i] for i in tops)
-        keep = {i for i in tops if mass[i] >= 0.25 * most}
-        for top in list(keep):  # main that wraps the article proper: the article
-            inner = [i for i in range(top + 1, len(p.parents)) if outer[i] == top and p.kinds[i] == "article" and mass[i] >= SHARE * mass[top]]
-            if inner:
-                keep.discard(top)
-                keep.add(max(inner))
-        for i in range(1, len(p.parents)):
-            inside[i] = i in keep or inside[p.parents[i]]
+    at = np.array([x[2] for x in p.lines])
+    n = len(p.parents)
+    article, main = np.zeros(n, int), np.zeros(n, int)  # the outermost article that holds an element, and main, or 0
+    for i in range(1, n):  # children come after their parents
+        article[i] = article[p.parents[i]] or (i if p.kinds[i] == "article" else 0)
+        main[i] = main[p.parents[i]] or (i if p.kinds[i] == "main" else 0)
+    told = article[at]
+    if content[told > 0].any():
+        kept = np.isin(told, np.unique(told[content & (told > 0)])) & (told > 0) | content & (told == 0) & (main[at] > 0)
+    elif content[main[at] > 0].any():
+        kept = main[at] > 0
     else:
-        best, children = 0, [[] for _ in p.parents]
-        for i in range(1, len(p.parents)):
-            children[p.parents[i]].append(i)
-        while step := [i for i in children[best] if mass[i] >= SHARE * mass[0] and mass[i] > 0]:
-            best = step[0]
-        inside[best] = True
-        for i in range(1, len(p.parents)):
-            inside[i] |= inside[p.parents[i]]
-    kept = np.array([inside[x[2]] for x in p.lines])
-    if not tops and p.kinds[best] in ("", "html", "body"):  # no element is the article: its first to its last content line
-        at = np.flatnonzero(kept & content)
-        kept[: at[0] if at.size else 0] = False
-        kept[at[-1] + 1 if at.size else kept.size :] = False
+        def path(i: int) -> list[int]:
+            out = [i]
+            while p.parents[out[-1]] >= 0:
+                out.append(p.parents[out[-1]])
+            return out[::-1]
+
+        paths = [path(i) for i in np.unique(at[content]).tolist()]
+        common = [x[0] for x in zip(*paths) if len(set(x)) == 1][-1]
+        kept = np.array([common in path(i) for i in at.tolist()])
+        if p.kinds[common] in ("", "html", "body"):
+            first, last = np.flatnonzero(content)[[0, -1]]
+            kept &= (np.arange(len(at)) >= first) & (np.arange(len(at)) <= last)
+        first = int(kept.argmax())
+        while first and p.lines[first - 1][3]:
+            first -= 1
+            kept[first] = True
     return [x[0] for x, k in zip(p.lines, kept, strict=True) if k]
 
 

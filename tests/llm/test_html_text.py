@@ -1,3 +1,10 @@
+import html
+import os
+import re
+
+import numpy as np
+import pytest
+
 from colloquy.llm import html_text as H
 
 ARTICLE = """<!doctype html><html><head><title>Site</title><style>p{x:1}</style><script>var a = "<p>no</p>";</script></head><body>
@@ -27,3 +34,45 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "u", ARTICLE, "x"), (1, "u", ARTICLE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = sorted(((r.page_id, r.url, r.text) for r in H.extract(df).collect()), key=str)
     assert got == sorted([(1, "u", TEXT), (1, "u", TEXT), (None, None, "")], key=str) and H.extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>x</title><body><article><p>A text without the head's end</p></article></body></html>", "A text without the head's end"),
+        ('<article><p>First<p class="ad">Buy<p>Second<p>Third</article>', "First\nSecond\nThird"),
+        ('<article><h2 id="share-prices">Prices</h2><p id="related-work">Rise</p><div class="form">of things</div></article>', "Prices\nRise\nof things"),
+        ("<article><header><h1>Title</h1></header><p>Text of it</p><footer>Copyright foot</footer></article>", "Title\nText of it"),
+        ("<main><p>A lede of its own, as long as what follows it.</p><article><p>The article, as long as what it follows here.</p></article></main>", "A lede of its own, as long as what follows it.\nThe article, as long as what it follows here."),
+        ('<article><p>Some <span class="ad">Buy <b>now</b></span>words</p></article>', "Some words"),
+        ('<div class="sidebar-layout"><div class="menu">One</div><article><p>Held by a cue.</p></article></div>', "Held by a cue."),
+        ("<body><div>Top | New</div><h1>A title</h1><div><p>" + "long words of a text " * 9 + "</p><p>short</p><p>" + "long words of a text " * 9 + "</p></div></body>", "A title\n" + ("long words of a text " * 9).strip() + "\nshort\n" + ("long words of a text " * 9).strip()),
+    ],
+)
+def test_regions(page, text):
+    assert H.main_text(page) == text
+
+
+def test_clusters_split_where_squares_are_least():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        n = int(rng.integers(12, 40))
+        long = np.zeros(n, bool)
+        long[n // 3 : 2 * n // 3] = True
+        lengths = np.where(long, rng.integers(200, 400, n), rng.integers(3, 12, n)).astype(float)
+        assert H.content_lines(lengths, np.ones(n))[long].all() and not H.content_lines(lengths, np.ones(n))[[0, -1]].any()
+    assert H.content_lines(np.full(5, 7.0), np.ones(5)).all()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_pages_match_a_plain_cut(spark):
+    """The driver's pages, whose article is marked, against cutting them with regular expressions."""
+
+    def plain(page):
+        body = re.search(r"<article>(.*)</article>", re.sub(r"(?s)<!--.*?-->", "", page or ""), re.DOTALL)
+        blocks = re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|table|tr|td|blockquote|pre)\b[^>]*>", body[1] if body else "")
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", b))).split()) for b in blocks]
+        return "\n".join(b for b in blocks if b)
+
+    rows = H.extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), ("page_id", "url", "html")).collect()
+    assert len(rows) > 20 and [r.text for r in rows] == [plain(r.html) for r in rows]
