@@ -2,13 +2,16 @@
 
 Equal vectors are one point of a graph. Points are dealt to shards of bounded size by their hash; a
 shard's graph is built in two passes: greedy searches from the medoid propose neighbours, pruning
-with a relaxed distance (alpha) keeps diverse edges, and reverse edges are pruned alike. A query's beam
-search visits every shard; the nearest of all shards are ranked by exact distances in double precision.
+with a relaxed distance (alpha) keeps diverse edges, and reverse edges are pruned alike. Graphs are built
+once and written to the shared folder, a row each. Queries stream past them in blocks: a task holds
+one graph and at most GROUP blocks of queries, whose number is that of stated queries. A query's beam search visits every shard; the nearest of all shards are
+ranked by exact distances in double precision.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do those whose
-length differs from the most frequent length. Ties go to the smaller vec_id. An identifier that occurs
-twice counts as two rows; a query leaves out only rows with its own identifier. Other columns are
-dropped. Empty tables give an empty result; with fewer candidates than k, all are returned.
+length differs from the most frequent length; long vectors are taken whole, SHARD of them to a task. Ties
+go to the smaller vec_id. An identifier that occurs twice counts as two rows; a query leaves out only rows
+with its own identifier. Other columns are dropped, so their names cannot clash. Empty tables give an empty
+result; with fewer candidates than k, all are returned.
 """
 
 from __future__ import annotations
@@ -23,15 +26,16 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import table, written
 
 #: Points of a shard, at most about; edges of a point; beams of building and searching; relaxation.
-SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 4096, 32, 48, 64, 1.2
+SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 16_384, 32, 48, 96, 1.2
+#: Queries of a block, and blocks that a task takes past a graph.
+BLOCK, GROUP = 512, 256
 
 
 class Graph:
     """A directed graph over the rows of `points`."""
 
     def __init__(self, points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 3):
-        self.points = np.ascontiguousarray(points, np.float32)
-        self.norms = (self.points**2).sum(1)
+        self.hold(points)
         n = len(self.points)
         self.degree = min(degree, max(1, n - 1))
         rng = np.random.default_rng(seed)
@@ -44,6 +48,18 @@ class Graph:
                 self._insert(order[:size], beam, a)
                 order, size = order[size:], min(1024, size * 2)
 
+    def hold(self, points: np.ndarray) -> None:
+        self.points = np.ascontiguousarray(points, np.float32)
+        self.norms = (self.points**2).sum(1)
+
+    @classmethod
+    def of(cls, points: np.ndarray, edges: np.ndarray, medoid: int) -> Graph:
+        """A graph that was built before."""
+        graph = cls.__new__(cls)
+        graph.hold(points)
+        graph.edges, graph.degree, graph.medoid = edges, edges.shape[1], medoid
+        return graph
+
     def _distances(self, q: np.ndarray, qn: np.ndarray, ids: np.ndarray) -> np.ndarray:
         return qn[:, None] + self.norms[ids] - 2 * np.einsum("bd,bkd->bk", q, self.points[ids])
 
@@ -167,6 +183,60 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (size.n if size else 0))
 
 
+FOUND = "query_id long, vec_id long, score double"
+GRAPH = "shard int, ids array<long>, v array<double>, of array<int>, edges binary, medoid int"
+
+
+def graphs_of(points: DataFrame) -> DataFrame:
+    """GRAPH of each shard of (shard, v, ids): its points in id order, all their ids and whose each is, and its edges."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table["ids"].to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: ids[i][0])
+        vs = table["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
+        graph = Graph(vs)
+        of = [at for at, i in enumerate(order) for _ in ids[i]]
+        out = [pa.array([table["shard"][0].as_py()], pa.int32()), pa.array([[v for i in order for v in ids[i]]]), pa.array([vs.ravel()]), pa.array([of], pa.list_(pa.int32())), pa.array([graph.edges.tobytes()], pa.binary()), pa.array([graph.medoid], pa.int32())]
+        return pa.table(out, ["shard", "ids", "v", "of", "edges", "medoid"])
+
+    return points.select("shard", "v", "ids").groupBy("shard").applyInArrow(run, GRAPH)
+
+
+def searched(k: int, beam: int):
+    """Of a stream of graphs, each followed by blocks of queries: the k nearest of each query in each graph."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = shard = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                ids, vs = (row.column(row.schema.get_field_index(c)).flatten().to_numpy() for c in ("ids", "v"))
+                at = row["shard"][0].as_py()
+                if row["kind"][0].as_py() == 0:
+                    of = row["of"].flatten().to_numpy()
+                    n = int(of[-1]) + 1
+                    base = vs.reshape(n, -1)
+                    edges = np.frombuffer(row["edges"][0].as_py(), np.int32).reshape(n, -1)
+                    graph, shard, own, first = Graph.of(base, edges, row["medoid"][0].as_py()), at, ids, np.searchsorted(of, np.arange(n + 1))
+                    continue
+                if graph is None or shard != at:  # a shard that no point was dealt to
+                    continue
+                asked = vs.reshape(len(ids), -1)
+                out = [], [], []
+                found, _ = graph.search(asked, beam)
+                for q, v, near in zip(ids.tolist(), asked, found, strict=True):
+                    near = near[near >= 0][: 2 * (k + 1)]
+                    d = np.sqrt(((base[near] - v) ** 2).sum(1))
+                    best = sorted((x, i) for x, r in zip(d.tolist(), near, strict=True) for i in own[first[r] : first[r + 1]].tolist() if i != q)[:k]
+                    for x, i in best:
+                        out[0].append(q)
+                        out[1].append(i)
+                        out[2].append(x)
+                yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+    return run
+
+
 def nearest(vectors: DataFrame, queries, k: int = 10, key: str = "vec_id", vector: str = "embedding", shard: int = SHARD, beam: int = BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of the rows where the Column `queries` on `id` holds."""
     rows = usable(vectors, key, vector)
@@ -175,33 +245,15 @@ def nearest(vectors: DataFrame, queries, k: int = 10, key: str = "vec_id", vecto
     ids = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
     points = written(ids.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-points")
     shards = max(1, -(-points.count() // shard))
-    dealt = points.select((F.pmod(F.xxhash64("v"), F.lit(shards))).cast("int").alias("shard"), "v", "ids", F.lit(None).cast("long").alias("query"))
-    asked = rows.where(queries).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "v", F.lit(None).cast("array<long>").alias("ids"), F.col("id").alias("query"))
-
-    def run(table: pa.Table) -> pa.Table:
-        query = table["query"].to_pylist()
-        vs = np.array(table["v"].combine_chunks().flatten() if table.num_rows else [], float).reshape(table.num_rows, -1)
-        is_q = np.array([q is not None for q in query])
-        out = [], [], []
-        if is_q.any() and not is_q.all():
-            order = sorted(np.flatnonzero(~is_q), key=lambda i: ids_of[i][0]) if (ids_of := table["ids"].to_pylist()) else []
-            base = vs[order]
-            graph = Graph(base)
-            q_at = np.flatnonzero(is_q)
-            for at in range(0, len(q_at), 512):
-                part = q_at[at : at + 512]
-                found, _ = graph.search(vs[part], beam)
-                for i, row in zip(part, found, strict=True):
-                    row = row[row >= 0][: 2 * (k + 1)]
-                    d = np.sqrt(((base[row] - vs[i]) ** 2).sum(1))
-                    best = sorted((x, int(v)) for x, r in zip(d.tolist(), row, strict=True) for v in ids_of[order[r]] if v != query[i])[:k]
-                    for x, v in best:
-                        out[0].append(query[i])
-                        out[1].append(v)
-                        out[2].append(x)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    found = dealt.unionByName(asked).groupBy("shard").applyInArrow(run, "query_id long, vec_id long, score double")
+    graphs = written(graphs_of(points.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))), "ann-graphs")
+    n_blocks = max(1, rows.where(queries).count() // BLOCK)
+    groups = -(-n_blocks // GROUP)
+    asked = rows.where(queries).select("id", "v").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
+    blocks = written(asked.groupBy("block").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("v")), "ann-queries")
+    sent = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), (F.col("block") % groups).alias("group"), F.lit(1).alias("kind"), "ids", "v")
+    held = graphs.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), F.lit(0).alias("kind"), "ids", "v", "of", "edges", "medoid")
+    both = held.unionByName(sent, allowMissingColumns=True).repartition(shards * groups, "shard", "group")
+    found = both.sortWithinPartitions("shard", "group", "kind").mapInArrow(searched(k, beam), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

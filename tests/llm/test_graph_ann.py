@@ -20,7 +20,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, query_id int, id int").repartition(4)
 
 
-def test_recall_against_brute_force(spark):
+def test_recall_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK", 7)
+    monkeypatch.setattr(A, "GROUP", 2)
     rng = np.random.default_rng(4)
     centres = rng.normal(0, 1, (20, 24))
     rows = [(i, (centres[i % 20] + rng.normal(0, 0.3, 24)).tolist()) for i in range(3000)]
@@ -51,3 +53,11 @@ def test_fewer_candidates_than_k_and_empty(spark):
     assert [(r.vec_id, r.score) for r in A.nearest(df, F.col("id") == 0).orderBy("rank").collect()] == [(1, 1.0), (2, 3.0)]
     assert A.nearest(df.limit(0), F.col("id") == 0).collect() == []
     assert A.nearest(frame(spark, [(0, [1.0])]), F.col("id") == 0).collect() == []
+
+
+def test_wide_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 1, 4000).tolist()) for i in range(60)]
+    got = [(r.query_id, r.vec_id) for r in A.nearest(frame(spark, rows), F.col("id") % 20 == 0, k=3, shard=30).orderBy("query_id", "rank").collect()]
+    want = truth(rows, {0, 20, 40}, 3)
+    assert got == [(q, i) for q in sorted(want) for _, i in want[q]]
