@@ -1,13 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network is trained in numpy by backpropagation through time on a bounded sample of labelled text.
+The network is trained in numpy by backpropagation through time on a bounded sample of labelled rows.
 It reads a segment's bytes in both directions and labels every position with language probabilities;
-a document's score pools the log-probabilities of all its positions. A segment is a word of letters
-with the space around it (a run of at most SEGMENT bytes): a position's label depends on its segment
-alone, so a worker labels each distinct word once, whatever its count, and whole texts are cheap.
+a document's score pools the log-probabilities of all its positions. A segment is a run of characters
+that aren't white space, with the space around it: all bytes of a text but its white space are read, and
+a position's label depends on its segment alone, so a worker labels each distinct segment once, whatever
+its count, and whole texts are cheap. The state thus doesn't pass from one segment to the next; reading
+on through white space would cost the network's whole work on every byte of every text. A run of over
+SEGMENT bytes is read in pieces that overlap by half.
 
 Only text is an input of a prediction. Null texts and texts without a letter give `und` and score 0.
-Repeated rows and repeated or null keys stay as they are; other columns are dropped, so their names
+A letter is what str.isalpha says. Ties go to the first label in sorted order. Repeated rows and repeated or null keys stay as they are; other columns are dropped, so their names
 cannot clash. If no row has a label, every text gives `und`. Predicting shuffles nothing.
 """
 
@@ -21,22 +24,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.llm.common import table
 
 UNKNOWN = "und"
-#: Bound of the sample that the network is fitted on: documents of each label, by hash order, and the
-#: characters taken from the middle of each. Predictions always take whole texts.
-SAMPLE_PER_LABEL, SAMPLE_CHARS, MAX_LABELS = 400, 2000, 64
-HIDDEN, EMBEDDED, SEGMENT = 12, 8, 24
+#: Bound of the sample that the network is fitted on: rows of each label, by the order of their texts' hashes,
+#: with their whole texts.
+SAMPLE_PER_LABEL = 150
+HIDDEN, EMBEDDED, SEGMENT = 12, 8, 48
 #: Passes over the sample, steps at least, segments of a step, rate.
 EPOCHS, STEPS, BATCH, RATE = 3, 300, 256, 0.01
 #: Words that one worker remembers before it starts afresh; bounds its memory, never its results.
 REMEMBERED = 800_000
-SPLIT = re.compile(r"[^\W\d_]+")
+SPLIT = re.compile(r"\S+")
+MAYBE = re.compile(r"[^\W\d_]")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -45,7 +49,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def segments(word: str) -> list[bytes]:
     raw = b" " + word.encode() + b" "
-    return [raw] if len(raw) <= SEGMENT else [raw[i : i + SEGMENT] for i in range(0, len(raw), SEGMENT)]
+    half = SEGMENT // 2
+    return [raw] if len(raw) <= SEGMENT else [raw[i : i + SEGMENT] for i in range(0, len(raw) - half, half)]
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in MAYBE.finditer(text))
 
 
 def packed(segs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +221,7 @@ def learn(words: Counter, labels: list[str]) -> Network:
     for (word, label), n in sorted(words.items()):
         for s in segments(word):
             shares.setdefault(s, np.zeros(len(labels)))[at[label]] += n
-    total = sum(shares.values())
+    total = np.maximum(sum(shares.values()), 1)
     segs = sorted(shares)
     y = np.array([shares[s] for s in segs]) / total  # labels weigh alike, however many their rows
     weight = np.sqrt(y.sum(1))
@@ -255,7 +264,7 @@ class Predictor:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.net.labels:
             return [(UNKNOWN, 0.0)] * len(texts)
-        words = [SPLIT.findall((t or "").lower()) for t in texts]
+        words = [SPLIT.findall(t.lower()) if t and has_letter(t) else [] for t in texts]
         if len(self.at) > REMEMBERED:
             self.at, self.table = {}, self.table[:0]
         if new := [w for w in set().union(*words) if w not in self.at]:
@@ -274,14 +283,21 @@ class Predictor:
 
 
 def train(labelled: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Network:
-    """A network from (text, lang) rows with a non-null lang; the MAX_LABELS most frequent langs."""
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    langs = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect())
-    words: Counter = Counter()
-    for lang in langs:
-        middle = F.expr(f"substring(text, greatest(1, int(length(text) / 2) - {SAMPLE_CHARS // 2}), {SAMPLE_CHARS})")
-        for r in rows.where(F.col("lang") == lang).select("lang", middle.alias("t"), F.xxhash64("text").alias("h")).orderBy("h", "t").limit(per_label).collect():  # bounded: per_label * SAMPLE_CHARS
-            words.update((w, lang) for w in SPLIT.findall(r.t.lower()))
+    """A network from (text, lang) rows with a non-null lang; every lang is learned."""
+    rows = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    some = rows.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= per_label).select("lang", "h")
+    texts = rows.join(F.broadcast(some), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("t"))  # per_label rows of each lang
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts.update((lang, w) for w in SPLIT.findall(t.lower()))
+            yield pa.record_batch([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "w", "n"])
+
+    found = texts.select("lang", "t").mapInArrow(run, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")).toArrow()
+    words = Counter(dict(zip(zip(found["w"].to_pylist(), found["lang"].to_pylist(), strict=True), found["n"].to_pylist(), strict=True)))
     langs = sorted({lang for _, lang in words})
     return learn(words, langs) if langs else Network.new([])
 

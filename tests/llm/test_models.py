@@ -38,6 +38,23 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in L.predict(docs, nothing).collect()} == {"und"} and L.predict(docs.limit(0), net).collect() == []
 
 
+def test_language_predictions_match_a_plain_pass(spark):
+    """What workers compute from tables of segments, against every position's probabilities one text at a time."""
+    rows = [("the cat sat on the mat and then it slept", "en"), ("der Hund und die Katze sind nicht hier", "de"), ("le chat dort ici, et le chien l\u00e0-bas", "fr")] * 9
+    net = L.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert net.labels == ["de", "en", "fr"]
+    texts = ["the Cat, 12 mats", "und so weiter: " + "wort" * 40, "l\u00e0 \U0001d11e x", "\u00b2 \u00bd \u2167", "7 ate 9"]
+    for text, (lang, score) in zip(texts, L.Predictor(net).predict(texts), strict=True):
+        if not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        total = np.zeros(3)
+        for s, p in ((s, p) for w in text.lower().split() for s in L.segments(w) for p in [np.exp(net.log_probs(*L.packed([s])))[:, 0]]):
+            total += np.log(p).sum(0) / np.sqrt(len(s))
+        p = np.exp(total - total.max())
+        assert net.labels[int(total.argmax())] == lang and abs(score - p.max() / p.sum()) < 1e-3
+
+
 def test_language_gradient():
     net = L.Network.new(["a", "b"], 1)
     x, mask = L.packed([b" abc ", b" de "])
