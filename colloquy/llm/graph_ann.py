@@ -245,7 +245,8 @@ def nearest(vectors: DataFrame, queries, k: int = 10, key: str = "vec_id", vecto
     ids = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
     points = written(ids.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-points")
     shards = max(1, -(-points.count() // shard))
-    graphs = written(graphs_of(points.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))), "ann-graphs")
+    dealt = points.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).repartition(shards, "shard")
+    graphs = written(graphs_of(dealt), "ann-graphs")
     n_blocks = max(1, rows.where(queries).count() // BLOCK)
     groups = -(-n_blocks // GROUP)
     asked = rows.where(queries).select("id", "v").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
