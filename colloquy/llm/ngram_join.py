@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -273,13 +273,13 @@ def neighbours(placed: DataFrame, near: int = NEAR) -> DataFrame:
 def clusters_of(nodes: DataFrame, depth: int) -> DataFrame:
     """(node, root): the nodes that share a prefix of `depth` values, and a near signature, by connected component."""
     label = f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(labels, {2 * LONGEST} * t + 1, {2 * depth})))"
-    places = nodes.where("labels is not null").select("node", "sign", F.explode(F.expr(label)).alias("place"))
-    some = written(places.groupBy("place").agg(F.count("*").alias("size")).where("size > 1"), "ngram-prefixes")
+    places = nodes.where("labels is not null").select("node", F.explode(F.expr(label)).alias("place"))
+    # most places have one node: only what shares one gets its signature
+    some = places.withColumn("size", F.count("*").over(Window.partitionBy("place"))).where("size > 1")
     blocks = F.when(F.col("size") <= NEIGHBOURS, 1).otherwise(F.ceil(2 * F.col("size") / NEIGHBOURS)).cast("int")
-    placed = places.join(some.withColumn("blocks", blocks), "place").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = some.join(nodes.select("node", "sign"), "node").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.least("mine", "with")).withColumn("other", F.greatest("mine", "with"))
     edges = written(neighbours(placed), "ngram-edges")
-    remove(some)
     out = components(edges)
     remove(edges)
     return out
