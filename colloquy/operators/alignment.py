@@ -98,3 +98,40 @@ def span_matches(reference: DataFrame, system: DataFrame, bin_us: int, least: fl
         return rows[kept]
 
     return close.groupBy(key).applyInPandas(run, close.schema)
+
+
+def utterance_matches(reference: DataFrame, system: DataFrame, collar_us: int = COLLAR_US, bin_us: int = 60_000_000, key: str = "corpus_id") -> DataFrame:
+    """(key, reference_id, system_id, words): each reference, in order of its id, takes the best free system utterance.
+
+    Both sides are (key, utterance_id, word_id, start_us, end_us), a row a word. Candidates share words, overlap, or
+    lie within the collar at both ends; most words count first, then the overlap, the ends' distance, the larger id.
+    """
+
+    def bounds(side: DataFrame) -> DataFrame:
+        return side.groupBy(key, F.col("utterance_id").alias("interval_id")).agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
+
+    r, s = bounds(reference), bounds(system)
+    shared = reference.select(key, "word_id", F.col("utterance_id").alias("reference_id")).join(system.select(key, "word_id", F.col("utterance_id").alias("system_id")), [key, "word_id"]).groupBy(key, "reference_id", "system_id").agg(F.count_distinct("word_id").alias("words"))
+    wide = s.withColumn("start_us", F.col("start_us") - collar_us).withColumn("end_us", F.col("end_us") + collar_us + 1)
+    near = overlap_pairs(r, wide, bin_us, key).select(key, F.col("interval_id_l").alias("reference_id"), F.col("interval_id_r").alias("system_id"))
+    both = near.union(shared.select(key, "reference_id", "system_id")).distinct().join(shared, [key, "reference_id", "system_id"], "left")
+    for side, rows in (("reference", r), ("system", s)):
+        both = both.join(rows.select(key, F.col("interval_id").alias(f"{side}_id"), F.col("start_us").alias(f"{side}_s"), F.col("end_us").alias(f"{side}_e")), [key, f"{side}_id"])
+    overlap = F.least("reference_e", "system_e") - F.greatest("reference_s", "system_s")
+    start, end = F.abs(F.col("reference_s") - F.col("system_s")), F.abs(F.col("reference_e") - F.col("system_e"))
+    words = F.coalesce("words", F.lit(0)).cast("long")
+    fit = both.where((words > 0) | (overlap > 0) | ((start <= collar_us) & (end <= collar_us)))
+    fit = fit.select(key, "reference_id", "system_id", words.alias("words"), F.greatest(overlap, F.lit(0)).alias("o"), (-start - end).alias("near"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["reference_id", "words", "o", "near", "system_id"], ascending=[True, False, False, False, False])
+        used, last, kept = set(), None, []
+        for a, b in zip(rows["reference_id"], rows["system_id"], strict=True):
+            kept.append(new := a != last and b not in used)
+            if new:
+                last = a
+                used.add(b)
+        return rows.loc[kept, [key, "reference_id", "system_id", "words"]]
+
+    kind = fit.schema
+    return fit.groupBy(key).applyInPandas(run, f"{key} {kind[key].dataType.simpleString()}, reference_id {kind['reference_id'].dataType.simpleString()}, system_id {kind['system_id'].dataType.simpleString()}, words long")

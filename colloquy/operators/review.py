@@ -150,3 +150,43 @@ def acoustic_support(score: Column, low: float, high: float) -> Column:
 def shared_labels(rows: DataFrame, label: str, owner: str) -> DataFrame:
     """(label, owners): labels, but for case, that several owners bear."""
     return rows.groupBy(F.lower(label).alias("label")).agg(F.count_distinct(owner).alias("owners")).where("owners > 1")
+
+
+def applicable_bindings(turns: DataFrame, bindings: DataFrame, scopes: dict[str, list[str]], turn: str = "interval_id") -> DataFrame:
+    """(turn, identities, bindings, status): the identities that bindings (scope, target, identity) give each turn.
+
+    `scopes` names the columns of a turn that a scope's target is compared with, joined by `/`; a join for each
+    scope, all on keys. Several identities are a conflict.
+    """
+    met = None
+    for scope, columns in scopes.items():
+        named = turns.select(turn, F.concat_ws("/", *columns).alias("target"))
+        one = named.join(bindings.where(F.col("scope") == scope).select("target", "identity"), "target").select(turn, "identity")
+        met = one if met is None else met.union(one)
+    each = met.groupBy(turn).agg(F.count_distinct("identity").alias("identities"), F.count("*").alias("bindings"))
+    out = turns.select(turn).join(each, turn, "left").fillna(0, ["identities", "bindings"])
+    return out.withColumn("status", F.when(F.col("identities") > 1, "conflict").when(F.col("identities") == 1, "bound").otherwise("unbound"))
+
+
+def clipped(rows: DataFrame, windows: DataFrame, bin_us: int, key: str = "corpus_id") -> DataFrame:
+    """The parts of labelled intervals that lie in windows (key, start_us, end_us, stratum), under the key `key/stratum`."""
+    p = overlap_pairs(rows.select(key, "interval_id", "label", "start_us", "end_us"), windows.select(key, "stratum", "start_us", "end_us"), bin_us, key)
+    return p.select(F.concat_ws("/", key, "stratum_r").alias(key), F.col("interval_id_l").alias("interval_id"), F.col("label_l").alias("label"), F.greatest("start_us_l", "start_us_r").alias("start_us"), F.least("end_us_l", "end_us_r").alias("end_us"))
+
+
+def simultaneous(u: DataFrame, members: DataFrame, key: str = "corpus_id") -> DataFrame:
+    """(key, pos, member): members closed under overlap in time, whatever chain of overlaps leads there.
+
+    Overlaps chain exactly within runs of strictly overlapping utterances, so a run's number stands for the closure.
+    """
+    w = Window.partitionBy(key).orderBy("start_us", "end_us", "pos")
+    reach = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = u.withColumn("cut", F.when(F.col("start_us") < reach, 0).otherwise(1)).select(key, F.col("pos").alias("member"), F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    of = members.join(runs, [key, "member"]).select(key, "pos", "run").distinct()
+    return of.join(runs, [key, "run"]).select(key, "pos", "member")
+
+
+def local_to_source(rows: DataFrame, chunk_us: Column, local_start: Column, length: Column, chunk_start: Column) -> DataFrame:
+    """Source intervals of chunk-local ones; those that leave their chunk are left out."""
+    inside = (local_start >= 0) & (length >= 0) & (local_start + length <= chunk_us)
+    return rows.where(inside).withColumns({"start_us": chunk_start + local_start, "end_us": chunk_start + local_start + length})

@@ -206,12 +206,16 @@ def speaker_mapping(spark, d):
 COLLAR_US = 600_000_000
 
 
-@query(f"""WITH {_SPEAKERS}, {_unions('ru', 'rr')}, {_unions('su', 'sy')}, cl AS (SELECT DISTINCT corpus_id, '' AS label, greatest(t - {COLLAR_US}, 0) AS start_us, t + {COLLAR_US} AS end_us FROM (SELECT corpus_id, unnest([start_us, end_us]) AS t FROM rr)), {_unions('cu', 'cl')},
+def error_sql(reference: str, system: str) -> str:
+    return f"""{_unions('ru', reference)}, {_unions('su', system)}, cl AS (SELECT DISTINCT corpus_id, '' AS label, greatest(t - {COLLAR_US}, 0) AS start_us, t + {COLLAR_US} AS end_us FROM (SELECT corpus_id, unnest([start_us, end_us]) AS t FROM {reference})), {_unions('cu', 'cl')},
 al AS (SELECT corpus_id, 'r' AS side, label, s, e FROM ru UNION ALL SELECT corpus_id, 's', label, s, e FROM su UNION ALL SELECT corpus_id, 'c', label, s, e FROM cu), bp AS (SELECT DISTINCT corpus_id, unnest([s, e]) AS s FROM al),
 pc AS (SELECT corpus_id, s, lead(s) OVER (PARTITION BY corpus_id ORDER BY s) AS e FROM bp), ac AS (SELECT p.corpus_id, p.s, p.e, a.side, a.label FROM pc p JOIN al a ON a.corpus_id = p.corpus_id AND a.s < p.e AND p.s < a.e),
 ct AS (SELECT corpus_id, e - s AS l, count(*) FILTER (WHERE side = 'r') AS nr, count(*) FILTER (WHERE side = 's') AS ns, count(*) FILTER (WHERE side <> 'c') - count(DISTINCT CASE WHEN side <> 'c' THEN label END) AS hit FROM ac GROUP BY corpus_id, s, e HAVING count(*) FILTER (WHERE side = 'c') = 0),
 t AS (SELECT corpus_id, CAST(sum(nr * l) AS BIGINT) AS reference_us, CAST(sum(hit * l) AS BIGINT) AS correct_us, CAST(sum(greatest(nr - ns, 0) * l) AS BIGINT) AS missed_us, CAST(sum(greatest(ns - nr, 0) * l) AS BIGINT) AS false_alarm_us, CAST(sum((least(nr, ns) - hit) * l) AS BIGINT) AS confusion_us FROM ct GROUP BY corpus_id)
-SELECT *, round((missed_us + false_alarm_us + confusion_us) / nullif(reference_us, 0), 9) AS der FROM t""")
+SELECT *, round((missed_us + false_alarm_us + confusion_us) / nullif(reference_us, 0), 9) AS der FROM t"""
+
+
+@query(f"WITH {_SPEAKERS}, {error_sql('rr', 'sy')}")
 def diarization_error(spark, d):
     return matching.error_components(*_speakers(spark, d), COLLAR_US, BIN_US)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.operators import alignment, intervals, ledger, quotation, review
+from colloquy.operators import alignment, context, intervals, ledger, matching, quotation, review
+from colloquy.plans.discussion import _SPEAKERS, COLLAR_US, _speakers, _unions, error_sql
 from colloquy.plans.queries import BIN_US, KEYS, query
 from colloquy.sources import tables
 from colloquy.sources.tables import EV, PT, U, WD
@@ -190,3 +191,52 @@ def cluster_formation(spark, d):
     ok = tables.intervals(spark, d).where("end_us - start_us >= 60000000").withColumn("who", F.struct("corpus_id", "label"))
     m = intervals.merge_intervals(ok, "who")
     return m.groupBy("who").agg(F.sum("n").alias("members"), F.sum(F.col("end_us") - F.col("start_us")).alias("speech_us")).select("who.*", "members", "speech_us")
+
+
+_BINDINGS = f"""{EV}, bi AS (SELECT 'turn' AS scope, CAST(interval_id AS VARCHAR) AS target, label AS identity FROM ev WHERE interval_id % 50 = 0 UNION ALL SELECT DISTINCT 'cluster', corpus_id || '/' || label, label FROM ev WHERE corpus_id % 3 = 0 UNION ALL SELECT DISTINCT 'recording', CAST(corpus_id AS VARCHAR), 'view' FROM ev WHERE corpus_id % 7 = 0),
+me AS (SELECT interval_id, identity FROM ev JOIN bi ON (scope = 'turn' AND target = CAST(interval_id AS VARCHAR)) UNION ALL SELECT interval_id, identity FROM ev JOIN bi ON scope = 'cluster' AND target = corpus_id || '/' || label UNION ALL SELECT interval_id, identity FROM ev JOIN bi ON scope = 'recording' AND target = CAST(corpus_id AS VARCHAR))"""
+
+
+@query(f"""WITH {_BINDINGS}, co AS (SELECT interval_id, count(DISTINCT identity) AS identities, count(*) AS bindings FROM me GROUP BY interval_id)
+SELECT interval_id, coalesce(identities, 0) AS identities, coalesce(bindings, 0) AS bindings, CASE WHEN identities > 1 THEN 'conflict' WHEN identities = 1 THEN 'bound' ELSE 'unbound' END AS status FROM ev LEFT JOIN co USING (interval_id)""")
+def applicable_bindings(spark, d):
+    """Bindings of every fiftieth turn, of every third recording's clusters and of every seventh recording."""
+    ev = tables.intervals(spark, d)
+    of = lambda rows, scope, identity, *target: rows.select(F.lit(scope).alias("scope"), F.concat_ws("/", *target).alias("target"), identity.alias("identity"))
+    bindings = of(ev.where("interval_id % 50 = 0"), "turn", F.col("label"), "interval_id").union(of(ev.where("corpus_id % 3 = 0"), "cluster", F.col("label"), "corpus_id", "label").distinct()).union(of(ev.where("corpus_id % 7 = 0"), "recording", F.lit("view"), "corpus_id").distinct())
+    return review.applicable_bindings(ev, bindings, {"turn": ["interval_id"], "cluster": ["corpus_id", "label"], "recording": ["corpus_id"]})
+
+
+_WINDOWS = f"{_SPEAKERS}, st AS (SELECT corpus_id, CAST(interval_id % 3 AS VARCHAR) AS label, start_us, end_us FROM rr), {_unions('wi', 'st')}"
+_CLIP = "SELECT t.corpus_id || '/' || w.label AS corpus_id, t.interval_id, t.label, greatest(t.start_us, w.s) AS start_us, least(t.end_us, w.e) AS end_us FROM {} t JOIN wi w ON t.corpus_id = w.corpus_id AND t.start_us < w.e AND w.s < t.end_us"
+
+
+@query(f"WITH {_WINDOWS}, cr AS ({_CLIP.format('rr')}), cs AS ({_CLIP.format('sy')}), {error_sql('cr', 'cs')}")
+def stratum_error(spark, d):
+    """Error components within the turns of each stratum, here the interval's number by three."""
+    ref, sys = _speakers(spark, d)
+    strata = ref.select(F.struct("corpus_id", (F.col("interval_id") % 3).cast("string").alias("stratum")).alias("who"), "start_us", "end_us")
+    windows = intervals.merge_intervals(strata, "who").select("who.*", "start_us", "end_us")
+    return matching.error_components(review.clipped(ref, windows, BIN_US), review.clipped(sys, windows, BIN_US), COLLAR_US, BIN_US)
+
+
+@query(f"""WITH {U}, cu AS (SELECT *, CASE WHEN start_us < max(end_us) OVER (PARTITION BY corpus_id ORDER BY start_us, end_us, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS cut FROM ut), rn AS (SELECT *, sum(cut) OVER (PARTITION BY corpus_id ORDER BY start_us, end_us, pos ROWS UNBOUNDED PRECEDING) AS run FROM cu),
+me AS (SELECT DISTINCT a.corpus_id, a.pos, b.run FROM ut a JOIN rn b ON a.corpus_id = b.corpus_id AND b.pos BETWEEN a.pos - 4 AND a.pos - 1) SELECT m.corpus_id, m.pos, r.pos AS member FROM me m JOIN rn r ON m.corpus_id = r.corpus_id AND m.run = r.run""")
+def simultaneity_closure(spark, d):
+    u = tables.utterances(spark, d)
+    return review.simultaneous(u, context.windows(u).where("kind = 'preceding'"))
+
+
+@query(f"WITH {EV} SELECT interval_id, start_us, end_us FROM ev WHERE start_us % {BIN_US} + end_us - start_us <= {BIN_US}")
+def chunk_local_intervals(spark, d):
+    ev = tables.intervals(spark, d).select("interval_id", (F.col("start_us") % BIN_US).alias("local"), (F.col("end_us") - F.col("start_us")).alias("length"), (F.col("start_us") - F.col("start_us") % BIN_US).alias("chunk"))
+    return review.local_to_source(ev, F.lit(BIN_US), F.col("local"), F.col("length"), F.col("chunk")).select("interval_id", "start_us", "end_us")
+
+
+@query()
+def utterance_matches(spark, d):
+    """Utterances with those of a hearing that drops words and merges every fourth with the next; tested against a plain loop."""
+    w = tables.words(spark, d).withColumn("word_id", F.concat_ws(".", "pos", "word_no"))
+    heard = w.where("word_no % 7 <> 3").withColumn("utterance_id", F.when(F.col("pos") % 4 == 3, F.col("pos") - 1).otherwise(F.col("pos")))
+    cols = ["corpus_id", "utterance_id", "word_id", "start_us", "end_us"]
+    return alignment.utterance_matches(w.withColumn("utterance_id", F.col("pos")).select(cols), heard.select(cols))

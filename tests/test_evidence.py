@@ -135,3 +135,54 @@ def test_conflicts_and_aliases(spark):
     assert rows(review.shared_labels(n, "l", "o"), "label", "owners") == [("ann", 2)]
     v = spark.createDataFrame([(x,) for x in (0.9, 0.65, 0.5, 0.3, 0.1, None)], "x double")
     assert [r[0] for r in v.select(review.voice_result(F.col("x"), 0.75, 0.6, 0.2, 0.35)).collect()] == ["supports", "weakly_supports", "inconclusive", "weakly_contradicts", "contradicts", None]
+
+
+def test_utterances_are_matched_in_order(spark):
+    rng = random.Random(7)
+
+    def side(n):
+        out = []
+        for k in range(5):
+            for i in range(n):
+                s = rng.randrange(60)
+                out += [(k, i, w, s, s + rng.randrange(1, 9)) for w in rng.sample(range(20), rng.randrange(1, 4))]
+        return out
+
+    sides = side(7), side(6)
+    a, b = (spark.createDataFrame(s, "corpus_id long, utterance_id long, word_id long, start_us long, end_us long") for s in sides)
+
+    def of(rows_, k, i):
+        mine = [r for r in rows_ if r[:2] == (k, i)]
+        return {r[2] for r in mine}, min(r[3] for r in mine), max(r[4] for r in mine)
+
+    want = []
+    for k in range(5):
+        free = sorted({r[1] for r in sides[1] if r[0] == k})
+        for i in sorted({r[1] for r in sides[0] if r[0] == k}):
+            words, s, e = of(sides[0], k, i)
+            scored = []
+            for j in free:
+                other, s2, e2 = of(sides[1], k, j)
+                n, o = len(words & other), min(e, e2) - max(s, s2)
+                if n or o > 0 or (abs(s - s2) <= 3 and abs(e - e2) <= 3):
+                    scored.append((n > 0, n, max(o, 0), -abs(s - s2) - abs(e - e2), j))
+            if scored:
+                best = max(scored)
+                free.remove(best[-1])
+                want.append((k, i, best[-1], best[1]))
+    assert rows(alignment.utterance_matches(a, b, 3, 10), "corpus_id", "reference_id", "system_id", "words") == sorted(want)
+
+
+def test_bindings_windows_and_closure(spark):
+    t = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 3, None)], "corpus_id long, interval_id long, label string")
+    b = spark.createDataFrame([("turn", "1", "ann"), ("cluster", "1/x", "bob"), ("cluster", "1/y", "ann"), ("recording", "1", "ann"), ("turn", "9", "z")], "scope string, target string, identity string")
+    got = rows(review.applicable_bindings(t, b, {"turn": ["interval_id"], "cluster": ["corpus_id", "label"], "recording": ["corpus_id"]}), "interval_id", "identities", "bindings", "status")
+    assert got == [(1, 2, 3, "conflict"), (2, 1, 2, "bound"), (3, 0, 0, "unbound")]
+    i = spark.createDataFrame([(1, 1, "a", 0, 10), (1, 2, "b", 20, 30)], "corpus_id long, interval_id long, label string, start_us long, end_us long")
+    w = spark.createDataFrame([(1, "s", 5, 25)], "corpus_id long, stratum string, start_us long, end_us long")
+    assert rows(review.clipped(i, w, 7), "corpus_id", "interval_id", "start_us", "end_us") == [("1/s", 1, 5, 10), ("1/s", 2, 20, 25)]
+    u = spark.createDataFrame([(1, 0, 0, 10), (1, 1, 9, 20), (1, 2, 20, 30), (1, 3, 25, 40), (1, 4, 50, 60)], "corpus_id long, pos long, start_us long, end_us long")
+    m = spark.createDataFrame([(1, 4, 2)], "corpus_id long, pos long, member long")
+    assert rows(review.simultaneous(u, m), "pos", "member") == [(4, 2), (4, 3)]
+    c = spark.createDataFrame([(0, 5), (8, 5), (-1, 2)], "s long, n long")
+    assert rows(review.local_to_source(c, F.lit(10), F.col("s"), F.col("n"), F.lit(100)), "start_us", "end_us") == [(100, 105)]
