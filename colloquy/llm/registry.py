@@ -16,6 +16,7 @@ QUERIES = {
     "op8_suffix_tree_lm": "suffix_tree_lm",
     "op9_graph_ann": "graph_ann",
     "op10_toxicity": "toxicity",
+    "op11_tandem_runs": "tandem_runs",
 }
 
 
