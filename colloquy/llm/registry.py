@@ -17,6 +17,7 @@ QUERIES = {
     "op9_graph_ann": "graph_ann",
     "op10_toxicity": "toxicity",
     "op11_tandem_runs": "tandem_runs",
+    "op12_token_counts": "token_counts",
 }
 
 
