@@ -18,6 +18,7 @@ QUERIES = {
     "op10_toxicity": "toxicity",
     "op11_tandem_runs": "tandem_runs",
     "op12_token_counts": "token_counts",
+    "op13_kdtree_clusters": "kdtree_clusters",
 }
 
 
