@@ -91,12 +91,15 @@ def judged(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     covered = found.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("p", "m"))).alias("s")).select(*keys, F.expr(union).cast("long").alias("n_hit"))
     joined = found.select(*keys, "t").distinct().join(known.select("t", "item_id").distinct(), "t").select(*keys, F.col("item_id").cast("string").alias("i")).distinct()
     of = joined.groupBy(*keys).agg(F.sort_array(F.collect_list("i")).alias("i")).select(*keys, F.size("i").cast("long").alias("n_items"), F.sha2(F.array_join("i", ","), 256).alias("items_sha256"))
-    per = covered.withColumn("kk", F.coalesce(F.col("k").cast("string"), F.lit("")))
-    of = of.select(F.coalesce(F.col("k").cast("string"), F.lit("")).alias("kk"), F.col("h"), "n_items", "items_sha256")
-    per = written(per.join(of, ["kk", "h"]).select("kk", "h", "n_hit", "n_items", "items_sha256"), "decontaminate-judged")
+    def sides(df: DataFrame) -> DataFrame:
+        """A null key joins null keys and no others; an empty string is a key."""
+        return df.withColumns({"kk": F.coalesce(F.col("k").cast("string"), F.lit("")), "kn": F.col("k").isNull()})
+
+    on = ["kk", "kn", "h"]
+    per = written(sides(covered).join(sides(of).select(*on, "n_items", "items_sha256"), on).select(*on, "n_hit", "n_items", "items_sha256"), "decontaminate-judged")
     remove(found)
     remove(known)
-    out = met.select("k", "h", "n_words", F.coalesce(F.col("k").cast("string"), F.lit("")).alias("kk")).join(per, ["kk", "h"], "left")
+    out = sides(met.select("k", "h", "n_words")).join(per, on, "left")
     zero = F.lit(0).cast("long")
     n_hit = F.coalesce("n_hit", zero)
     return out.select("k", "h", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

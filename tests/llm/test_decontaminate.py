@@ -78,3 +78,11 @@ def test_clean_rows_stay(spark):
     df = spark.createDataFrame([(1, item, 0), (1, "clean", 1), (None, item, 2), (None, "clean", 3), (None, None, 4)], "doc_id long, text string, h int")
     rows = D.uncontaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert rows.columns == df.columns and sorted(r.h for r in rows.collect()) == [1, 3, 4]
+
+
+def test_null_and_empty_keys_stay_apart(spark):
+    items = [(1, "unique passage of exactly ten words in one item here now")]
+    docs = spark.createDataFrame([(None, items[0][1]), ("", items[0][1]), ("", "clean"), (None, None)], "doc_id string, text string")
+    got = D.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit) for r in got), key=str) == sorted([(None, 11, 11), ("", 11, 11), ("", 1, 0), (None, 0, 0)], key=str)
+    assert sorted((r.doc_id for r in D.uncontaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()), key=str) == ["", None]
