@@ -285,8 +285,9 @@ class Predictor:
 def train(labelled: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Network:
     """A network from (text, lang) rows with a non-null lang; every lang is learned."""
     rows = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"))
-    # of each lang, first the rows in the lowest part of the hashes, four times what is wanted: few rows meet
-    part, counts = F.pmod("h", F.lit(1 << 40)), rows.groupBy("lang").agg(F.count("*").alias("count"))
+    # of each lang, first the texts in the lowest part of the hashes, four times what is wanted: few rows meet. Texts are
+    # counted, not rows, as a lang may consist of copies; all of a lang's texts meet where it has few
+    part, counts = F.pmod("h", F.lit(1 << 40)), rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("count"))
     low = rows.select("lang", "h").join(counts, "lang").where(part.cast("double") * F.col("count") < 4.0 * per_label * (1 << 40))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(part, "h"))
     some = low.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= per_label).select("lang", "h")

@@ -38,6 +38,14 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in L.predict(docs, nothing).collect()} == {"und"} and L.predict(docs.limit(0), net).collect() == []
 
 
+def test_languages_of_many_copies_are_learned(spark):
+    english = spark.range(3000).selectExpr("concat('the word number ', id, ' is in english') AS text", "'en' AS lang")
+    french = spark.range(40000).selectExpr("if(id % 2 = 0, 'voici une phrase en français', 'et une autre phrase française') AS text", "'fr' AS lang")
+    net = L.train(english.union(french))
+    assert sorted(net.labels) == ["en", "fr"]
+    assert [label for label, _ in L.Predictor(net).predict(["voici une phrase en français", "the word number 77 is in english"])] == ["fr", "en"]
+
+
 def test_language_predictions_match_a_plain_pass(spark):
     """What workers compute from tables of segments, against every position's probabilities one text at a time."""
     rows = [("the cat sat on the mat and then it slept", "en"), ("der Hund und die Katze sind nicht hier", "de"), ("le chat dort ici, et le chien l\u00e0-bas", "fr")] * 9
