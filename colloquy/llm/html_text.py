@@ -4,9 +4,10 @@ The standard library's streaming parser turns a page into lines, one per block.
 text-to-tag ratio; the ratios, in page order, are smoothed with a Gaussian kernel and clustered in one
 dimension into content and the rest. Regions of content lines are the article: every `article` that holds
 one, whole; beside it in `main`, the content lines themselves; without either, all from the first content
-line to the last within the smallest element that holds them all, and the headings just before. What
-tags, roles and classes say only takes out menus, headers, footers, sidebars, notices, adverts, forms and
-comments first; a class never takes out an `article` or `main`.
+line to the last within the smallest element that holds them all, the headings just before, and in a bare
+body the paragraphs without links just before and after. What tags, roles, classes and ids say only takes
+out menus, headers, footers, sidebars, notices, adverts, forms and comments first; a class never takes out
+an `article` or `main`, and within one only names that stand for such a block (`set_apart`).
 
 Null or empty html gives an empty text. Each row stands alone: repeated rows and extra columns change
 nothing, and nothing is shuffled. Pages are taken whole, however long. Ratios that are all alike make one
@@ -16,6 +17,7 @@ cluster: all lines are content. Nothing in the article is dropped or cut.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -43,22 +45,47 @@ CUE = re.compile(
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 #: Classes of adverts and the like within an article, as whole names or before a hyphen.
 INNER = re.compile(r"(?:^|\s)(?:ads?|adverts?|advertisement|sponsored|promo|newsletter|subscribe|share|sharing|social|related|recommended|comments?|sidebar|breadcrumbs?|popup|modal)(?:$|\s)|(?:^|\s)(?:ads?|adverts?|advertisement|sponsored|cookie)-", re.IGNORECASE)
+#: Names of blocks within an article that aren't its text: readers' remarks by any part of a name, others by its first, links to other pages only by names made of these words alone.
+REMARKS = frozenset("comment comments commentlist commentarea disqus replies".split())
+NOT_TEXT = frozenset("ad ads advert adverts advertisement sponsored cookie cookies newsletter subscribe subscription signup promo sidebar popup modal breadcrumb breadcrumbs".split())
+LINKS = frozenset("share sharing social related recommended recommendations".split())
+OF_LINKS = LINKS | frozenset("buttons button bar links link tools box icons this widget posts post articles article stories story content news items reading topics list media block section area container wrapper panel".split())
+PREFIXES = frozenset("article post entry story page site content block section widget js".split())
+#: Elements that such a name takes out by id, too; a paragraph or heading may bear one as the target of a link.
+CONTAINERS = frozenset("div section ul ol dl figure details fieldset table center".split())
 OTHER = re.compile(r"comment|repl(?:y|ies)|promo|related|teaser", re.IGNORECASE)
 WIDTH = 1.5
+#: Tags of a paragraph at the ends of a bare body that is taken for text, its own among them; lists of links have more.
+PLAIN = 2
 #: Why an element is left out: by its class, by its kind.
 BY_CLASS, BY_KIND = 1, 2
 
 
+def set_apart(names: str) -> bool:
+    """Whether classes or ids, like `article-comments`, `shareButtons` or `related_posts`, name a block that is no text of an article."""
+    for name in names.split():
+        parts = [p for p in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if p]
+        parts = [p.lower() for p in parts]
+        if REMARKS.intersection(parts):
+            return True
+        while len(parts) > 1 and parts[0] in PREFIXES:
+            parts = parts[1:]
+        if parts and (parts[0] in NOT_TEXT or parts[0] in LINKS and OF_LINKS.issuperset(parts)):
+            return True
+    return False
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, element, heading) for each block that isn't left out, and each element's parent and kind."""
+    """Collects (text, tags, element, heading, paragraph) for each block that isn't left out, and each element's parent and kind."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, element, why it is left out
         self.parents, self.kinds = [-1], [""]
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, bool]] = []
         self.text: list[str] = []
-        self.tags, self.articles, self.heading = 0, 0, False
+        self.tags, self.articles, self.heading, self.paragraph = 0, 0, False, False
+        self.open: Counter = Counter()  # tags on the stack
 
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i)
@@ -67,9 +94,9 @@ class Lines(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, self.tags, self.stack[-1][1], self.heading))
+                self.lines.append((text, self.tags, self.stack[-1][1], self.heading, self.paragraph))
             self.text = []
-        self.tags, self.heading = 0, False
+        self.tags, self.heading, self.paragraph = 0, False, False
 
     def handle_starttag(self, tag, attrs):
         named = dict(attrs)
@@ -77,7 +104,7 @@ class Lines(HTMLParser):
         if tag in INLINE and tag != "img":
             self.tags += 1
             if hidden or INNER.search(named.get("class") or ""):
-                self.stack.append((tag, self.stack[-1][1], BY_CLASS))
+                self._push(tag, self.stack[-1][1], BY_CLASS)
             return
         if tag in VOID:
             self.tags += 1
@@ -85,7 +112,7 @@ class Lines(HTMLParser):
             return
         self.flush()
         self.tags += 1
-        if tag not in HEAD:
+        if tag not in HEAD and self.open["head"]:
             for k, (t, _, _) in enumerate(self.stack):
                 if t == "head":
                     self._pop(k)
@@ -103,12 +130,13 @@ class Lines(HTMLParser):
             out = BY_KIND
         elif not out and not article and tag not in ("body", "html"):
             inside = self.articles or tag in LOOSE
-            if INNER.search(classes) or not inside and any(CUE.search(named.get(k) or "") for k in ("class", "id")):
+            apart = inside and tag in CONTAINERS and (set_apart(f"{classes} {named.get('id') or ''}") or named.get("itemprop") == "comment")
+            if apart or INNER.search(classes) or not inside and any(CUE.search(named.get(k) or "") for k in ("class", "id")):
                 out = BY_CLASS
-        self.heading = tag in ("h1", "h2", "h3")
+        self.heading, self.paragraph = tag in ("h1", "h2", "h3"), tag == "p"
         if tag in LOOSE and not out:
             return
-        self.stack.append((tag, len(self.parents), out))
+        self._push(tag, len(self.parents), out)
         self.parents.append(self.stack[-2][1])
         kind = ("main" if tag == "main" or role == "main" else "article") if article else tag
         self.kinds.append(kind)
@@ -121,8 +149,13 @@ class Lines(HTMLParser):
             self.handle_starttag(tag, attrs)
             self.handle_endtag(tag)
 
+    def _push(self, tag: str, element: int, out: int) -> None:
+        self.stack.append((tag, element, out))
+        self.open[tag] += 1
+
     def _pop(self, k: int) -> None:
         for tag, i, _ in self.stack[k:]:
+            self.open[tag] -= 1
             self.articles -= tag not in INLINE and self.kinds[i] in ("article", "main")
         del self.stack[k:]
 
@@ -135,6 +168,8 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         self.flush()
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == tag:
                 self._pop(k)
@@ -187,18 +222,21 @@ def main_blocks(html: str | None) -> list[str]:
     elif content[main[at] > 0].any():
         kept = main[at] > 0
     else:
-        def path(i: int) -> list[int]:
-            out = [i]
-            while p.parents[out[-1]] >= 0:
-                out.append(p.parents[out[-1]])
-            return out[::-1]
-
-        paths = [path(i) for i in np.unique(at[content]).tolist()]
-        common = [x[0] for x in zip(*paths) if len(set(x)) == 1][-1]
-        kept = np.array([common in path(i) for i in at.tolist()])
+        last = np.arange(n)  # an element's descendants are the elements up to its last: all are numbered in page order
+        for i in range(n - 1, 0, -1):
+            last[p.parents[i]] = max(last[p.parents[i]], last[i])
+        common, end = int(at[content].min()), int(at[content].max())
+        while last[common] < end:
+            common = p.parents[common]
+        kept = (at >= common) & (at <= last[common])
         if p.kinds[common] in ("", "html", "body"):
-            first, last = np.flatnonzero(content)[[0, -1]]
-            kept &= (np.arange(len(at)) >= first) & (np.arange(len(at)) <= last)
+            a, b = np.flatnonzero(content)[[0, -1]]
+            plain = np.array([x[3] or x[4] and x[1] <= PLAIN for x in p.lines]) & (at == common)
+            while a and plain[a - 1]:
+                a -= 1
+            while b + 1 < len(at) and plain[b + 1]:
+                b += 1
+            kept &= (np.arange(len(at)) >= a) & (np.arange(len(at)) <= b)
         first = int(kept.argmax())
         while first and p.lines[first - 1][3]:
             first -= 1

@@ -1,6 +1,8 @@
 import html
 import os
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -53,6 +55,54 @@ def test_regions(page, text):
     assert H.main_text(page) == text
 
 
+LONG = ("long words of a text " * 9).strip()
+BLOCKS = [
+    '<section id="comments"><p>{}</p></section>', '<div class="article-comments"><p>{}</p></div>', '<ol class="comment-list"><li>{}</li></ol>', '<ul class="commentlist"><li>{}</li></ul>', '<div class="share-buttons">{}</div>', '<div id="shareBar">{}</div>',
+    '<div class="related-posts"><ul><li>{}</li></ul></div>', '<section class="post-related_articles">{}</section>', '<div class="newsletter-signup"><p>{}</p></div>', '<div id="newsletter">{}</div>', '<div itemprop="comment">{}</div>', '<div class="social-links">{}</div>',
+]
+
+
+@pytest.mark.parametrize("block", BLOCKS)
+def test_blocks_within_an_article_that_are_no_text(block):
+    other = block.format("A remark by someone who has read all of it, and at length.")
+    assert H.main_text(f"<article><p>{LONG}</p>{other}<p>{LONG} end</p></article>") == f"{LONG}\n{LONG} end"
+    assert H.main_text(f"<main><p>{LONG}</p>{other}<p>{LONG} end</p></main>") == f"{LONG}\n{LONG} end"
+
+
+@pytest.mark.parametrize("name", ["related-work", "share-prices", "commentary", "social-history", "recommended-dose", "adaptive", "socialism", "signed-up", "cookiesheet"])
+def test_names_that_only_look_like_them_stay(name):
+    page = f'<article><p>{LONG}</p><section id="{name}"><p>Part of it</p></section><div class="{name}">and this</div><p>{LONG}</p></article>'
+    assert H.main_text(page) == f"{LONG}\nPart of it\nand this\n{LONG}"
+
+
+def test_ends_of_a_bare_body():
+    assert H.main_text(f"<body><p>Hi.</p><p>{LONG}</p><p>{LONG}</p></body>") == f"Hi.\n{LONG}\n{LONG}"
+    assert H.main_text(f"<body><p>{LONG}</p><p>{LONG}</p><p>End.</p></body>") == f"{LONG}\n{LONG}\nEnd."
+    links = "<p><a href=x>Home</a> <a href=y>News</a></p>"
+    assert H.main_text(f"<body>{links}<h1>T</h1><p>Hi.</p><p>{LONG}</p><p>{LONG}</p><p>End.</p>{links}</body>") == f"T\nHi.\n{LONG}\n{LONG}\nEnd."
+
+
+def test_time_is_linear_in_nesting_and_stray_ends():
+    n = 40_000
+    for page in ("<div>x" * n, "<div>" * n + "</section>" * n, "<ul><li>" * n + "x", "<div><p>" * n + "y" * 200):
+        start = time.process_time()
+        H.main_text(page)
+        assert time.process_time() - start < 6, page[:20]
+
+
+def test_pages_without_an_article_against_what_they_were_made_of():
+    """Pages made of a text and of what surrounds it, cut apart by the parts they were made of."""
+    rng, words = random.Random(5), "one of these words makes a sentence with some others".split()
+    for _ in range(200):
+        text = [" ".join(rng.choice(words) for _ in range(rng.randrange(25, 60))) for _ in range(rng.randrange(3, 9))]
+        title, chrome = "A title of it", ['<div class="menu"><a href=x>Home</a></div>', "<nav><ul><li>One</li></ul></nav>", '<div id="sidebar"><p>Elsewhere</p></div>', "<aside>Note</aside>", '<div class="comments"><p>Well said</p></div>', "<form><button>Go</button></form>"]
+        around = [rng.choice(chrome) for _ in range(6)]
+        holder = rng.choice(["div", "section"])
+        body = f"<{holder}><h1>{title}</h1>" + "".join(f"<p>{t}</p>" + rng.choice(["", "<script>x</script>", '<div class="ad">Buy</div>']) for t in text) + f"</{holder}>"
+        page = f"<html><head><title>t</title></head><body><header>Site</header>{''.join(around[:3])}{body}{''.join(around[3:])}<footer>Imprint</footer></body></html>"
+        assert H.main_text(page) == "\n".join([title, *text])
+
+
 def test_clusters_split_where_squares_are_least():
     rng = np.random.default_rng(2)
     for _ in range(50):
