@@ -49,7 +49,9 @@ class Graph:
                 order, size = order[size:], min(1024, size * 2)
 
     def hold(self, points: np.ndarray) -> None:
-        self.points = np.ascontiguousarray(points, np.float32)
+        """Points are kept as their offsets from the mean, whose squares single precision can tell apart."""
+        self.mean = np.asarray(points, np.float64).mean(0) if len(points) else np.zeros(points.shape[1:])
+        self.points = np.ascontiguousarray(points - self.mean, np.float32)
         self.norms = (self.points**2).sum(1)
 
     @classmethod
@@ -65,7 +67,9 @@ class Graph:
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, squared distances) of each query's beam, nearest first; -1 and infinity where it has fewer."""
-        q = np.ascontiguousarray(q, np.float32)
+        return self._search(np.ascontiguousarray(q - self.mean, np.float32), beam)
+
+    def _search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         b, n = len(q), len(self.points)
         beam = min(beam, n)
         qn = (q**2).sum(1)
@@ -137,7 +141,7 @@ class Graph:
         return out.astype(np.int32)
 
     def _insert(self, batch: np.ndarray, beam: int, alpha: float) -> None:
-        ids, dist = self.search(self.points[batch], beam)
+        ids, dist = self._search(self.points[batch], beam)
         old = self.edges[batch].astype(np.int64)
         cand = np.concatenate([ids, old], 1)
         d = np.concatenate([dist, self._distances(self.points[batch], self.norms[batch], old)], 1)
@@ -225,8 +229,11 @@ def searched(k: int, beam: int):
                 out = [], [], []
                 found, _ = graph.search(asked, beam)
                 for q, v, near in zip(ids.tolist(), asked, found, strict=True):
-                    near = near[near >= 0][: 2 * (k + 1)]
+                    near = near[near >= 0]  # the whole beam, in doubles; a point may be the query itself, so k + 1 and all that tie
                     d = np.sqrt(((base[near] - v) ** 2).sum(1))
+                    if len(near) > k + 1:
+                        close = d <= np.partition(d, k)[k]
+                        near, d = near[close], d[close]
                     best = sorted((x, i) for x, r in zip(d.tolist(), near, strict=True) for i in own[first[r] : first[r + 1]].tolist() if i != q)[:k]
                     for x, i in best:
                         out[0].append(q)

@@ -20,6 +20,15 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, query_id int, id int").repartition(4)
 
 
+def test_vectors_far_from_zero_are_told_apart():
+    x = np.random.default_rng(9).normal(0, 1, (3000, 32))
+    for shift in (0.0, 1000.0, 1e6):
+        graph, asked = A.Graph(x + shift), x[:300] + shift
+        exact = np.argsort(((x[:300, None] - x[None]) ** 2).sum(2), axis=1)[:, :10]
+        found = graph.search(asked, A.BEAM)[0][:, :10]
+        assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found.tolist(), exact.tolist(), strict=True)]) >= 0.95
+
+
 def test_recall_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(A, "BLOCK", 7)
     monkeypatch.setattr(A, "GROUP", 2)
