@@ -100,20 +100,62 @@ def assigned(weights: dict[tuple[str, str], int]) -> tuple[int, list[tuple[str,
     return min(best.values(), key=lambda x: (-x[0], x[1]))
 
 
+def assigned_many(weights: dict[tuple[str, str], int]) -> list[tuple[str, str]]:
+    """The pairs of positive weight of a one-to-one mapping of most weight, by shortest augmenting paths: a time that grows with the cube of the labels."""
+    systems, references = sorted({s for s, _ in weights}), sorted({r for _, r in weights})
+    n = max(len(systems), len(references))
+    cost = [[-weights.get((systems[i], references[j]), 0) if i < len(systems) and j < len(references) else 0 for j in range(n)] for i in range(n)]
+    of_row, of_column, match = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)  # potentials, and each column's row; rows and columns count from 1
+    for i in range(1, n + 1):
+        match[0], column = i, 0
+        far, way, used = [float("inf")] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while match[column]:
+            used[column] = True
+            row, least, after = match[column], float("inf"), 0
+            for j in range(1, n + 1):
+                if not used[j]:
+                    d = cost[row - 1][j - 1] - of_row[row] - of_column[j]
+                    if d < far[j]:
+                        far[j], way[j] = d, column
+                    if far[j] < least:
+                        least, after = far[j], j
+            for j in range(n + 1):
+                if used[j]:
+                    of_row[match[j]] += least
+                    of_column[j] -= least
+                else:
+                    far[j] -= least
+            column = after
+        while column:
+            match[column] = match[way[column]]
+            column = way[column]
+    pairs = [(systems[match[j] - 1], references[j - 1]) for j in range(1, len(references) + 1) if match[j] <= len(systems)]
+    return sorted(p for p in pairs if weights.get(p, 0) > 0)
+
+
 def speaker_mapping(weights: DataFrame, key: str = "corpus_id", most: int = 12) -> DataFrame:
-    """(key, system, reference, weight_us): the best one-to-one mapping of each recording; over `most` labels is an error."""
+    """(key, system, reference, weight_us): the best one-to-one mapping of each recording.
+
+    Of equal ones it is the first by sorted labels; over `most` labels on a side, whichever the search finds.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if rows["system"].nunique() > most or rows["reference"].nunique() > most:
-            raise ValueError(f"a recording has over {most} speakers")
         given = {(s, r): int(w) for s, r, w in zip(rows["system"], rows["reference"], rows["weight_us"], strict=True)}
-        pairs = assigned(given)[1]
+        many = rows["system"].nunique() > most or rows["reference"].nunique() > most
+        pairs = assigned_many(given) if many else assigned(given)[1]
         return pd.DataFrame({key: [rows[key].iloc[0]] * len(pairs), "system": [s for s, _ in pairs], "reference": [r for _, r in pairs], "weight_us": [given[p] for p in pairs]})
 
     kind = weights.schema[key].dataType.simpleString()
     return weights.groupBy(key).applyInPandas(run, f"{key} {kind}, system string, reference string, weight_us long")
 
 
+def relabelled(system: DataFrame, mapping: DataFrame, key: str = "corpus_id", label: str = "label") -> DataFrame:
+    """The system's rows with the reference's label that each label is mapped to; one without gets a label that no reference bears."""
+    named = mapping.select(key, F.col("system").alias(label), "reference")
+    free = F.concat(F.lit("unmapped: "), F.col(label))
+    return system.join(named, [key, label], "left").withColumn(label, F.coalesce("reference", free)).drop("reference")
+
+
 def collars(reference: DataFrame, collar_us: int, key: str = "corpus_id") -> DataFrame:
     """(key, start_us, end_us): the unions of what lies within collar_us of a reference boundary."""
     at = reference.select(key, F.explode(F.array("start_us", "end_us")).alias("at")).distinct()
