@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,16 +79,30 @@ def selected(target: int, rows: list[tuple], utterances: int = UTTERANCES, token
 def budgeted(u: DataFrame, members: DataFrame, utterances: int = UTTERANCES, tokens: int = TOKENS, duration_us: int = DURATION_US) -> DataFrame:
     """(corpus_id, pos, member, decision): each window's members under its budgets.
 
-    Every choice depends on those before, so a window is one call; it holds one utterance's neighbours.
+    Every choice depends on those before, so a window is one call; windows stream past, sorted, a few thousand rows
+    at a time, and no more than one is held besides.
     """
     facts = u.select("corpus_id", F.col("pos").alias("member"), "speaker", token_estimate(F.col("text")).alias("tokens"), "start_us", "end_us")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        pos = int(rows["pos"].iloc[0])
-        found = selected(pos, list(rows[["member", "speaker", "tokens", "start_us", "end_us"]].itertuples(index=False, name=None)), utterances, tokens, duration_us)
-        return pd.DataFrame({"corpus_id": rows["corpus_id"].iloc[0], "pos": pos, "member": list(found), "decision": list(found.values())})
-
-    return members.select("corpus_id", "pos", "member").distinct().join(facts, ["corpus_id", "member"]).groupBy("corpus_id", "pos").applyInPandas(run, "corpus_id long, pos long, member long, decision string")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def done(window: tuple[int, int], rows: list[tuple]) -> list[tuple]:
+            return [(*window, member, why) for member, why in selected(window[1], rows, utterances, tokens, duration_us).items()]
+
+        now, held, out = None, [], []
+        for part in parts:
+            for corpus, pos, *row in part.itertuples(index=False, name=None):
+                if now != (corpus, pos):
+                    if held:
+                        out += done(now, held)
+                    now, held = (corpus, pos), []
+                held.append(tuple(row))
+            yield pd.DataFrame(out, columns=["corpus_id", "pos", "member", "decision"])
+            out = []
+        if held:
+            yield pd.DataFrame(done(now, held), columns=["corpus_id", "pos", "member", "decision"])
+
+    rows = members.select("corpus_id", "pos", "member").distinct().join(facts, ["corpus_id", "member"]).select("corpus_id", "pos", "member", "speaker", "tokens", "start_us", "end_us")
+    return rows.repartition("corpus_id", "pos").sortWithinPartitions("corpus_id", "pos").mapInPandas(run, "corpus_id long, pos long, member long, decision string")
 
 
 def change_boundaries(df: DataFrame, key: str = "corpus_id", at: str = "at_us", tie: str = "event_id", label: str = "label") -> DataFrame:

@@ -185,7 +185,17 @@ def error_components(reference: DataFrame, system: DataFrame, collar_us: int, bi
 
 
 def edit_counts(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
-    """(substitutions, deletions, insertions) of the cheapest alignment; of equal cost: fewest substitutions, then insertions."""
+    """(substitutions, deletions, insertions) of the cheapest alignment; of equal cost: fewest substitutions, then insertions.
+
+    Equal words at both ends stand side by side in some such alignment, so only what lies between is compared.
+    """
+    low, least = 0, min(len(reference), len(hypothesis))
+    while low < least and reference[low] == hypothesis[low]:
+        low += 1
+    high = 0
+    while high < least - low and reference[-1 - high] == hypothesis[-1 - high]:
+        high += 1
+    reference, hypothesis = reference[low : len(reference) - high], hypothesis[low : len(hypothesis) - high]
     size = max(len(reference), len(hypothesis)) + 1
     base = 1 << max(15, size.bit_length())
     kind = np.int64 if base == 1 << 15 else object  # cost, substitutions, insertions, deletions in one number
@@ -231,24 +241,51 @@ def word_errors(df: DataFrame, keys: list[str], reference: str, hypothesis: str)
 def grouped_observations(observations: DataFrame, key: str = "corpus_id", least: float = 0.5, bonus: float = 0.05) -> DataFrame:
     """(key, label, group_id, n, score): observations of a type whose spans overlap by `least` of the longer, transitively.
 
-    Overlap ratios are no order on a line, so a key and type is grouped in one call: those of one utterance.
-    The score is the highest confidence, plus `bonus` if both methods agree, 1 at most.
+    A key and type is cut where nothing reaches over: spans of two pieces never overlap. Pieces stream past, sorted,
+    and no more than one is held; within it, a span meets only those that begin within the longest span before
+    it. The score is the highest confidence, plus `bonus` if both methods agree, 1 at most.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("interval_id")
-        s, e = rows["start_us"].to_numpy(), rows["end_us"].to_numpy()
-        root = np.arange(len(rows))
-        for i in range(len(rows)):
-            both = np.minimum(e[i], e[: i + 1]) - np.maximum(s[i], s[: i + 1])
-            longest = np.maximum(e[i] - s[i], e[: i + 1] - s[: i + 1])
-            near = np.unique(root[: i + 1][(both >= least * longest) & (both > 0)])
-            if len(near) > 1:
-                root[np.isin(root, near)] = near[0]
-        out = pd.DataFrame({key: rows[key].to_numpy(), "label": rows["label"].to_numpy(), "group_id": rows["interval_id"].to_numpy()[root], "c": rows["confidence"].to_numpy(), "m": rows["method"].to_numpy()})
-        got = out.groupby("group_id").agg(n=("c", "size"), score=("c", "max"), kinds=("m", "nunique")).reset_index()
-        got["score"] = np.minimum(1.0, got["score"] + np.where(got["kinds"] > 1, bonus, 0.0)).round(9)
-        return pd.DataFrame({key: rows[key].iloc[0], "label": rows["label"].iloc[0], "group_id": got["group_id"], "n": got["n"], "score": got["score"]})
+    def grouped(spans: list[tuple]) -> list[tuple]:
+        """(group_id, n, score) of one piece's (start, end, id, confidence, method), by start."""
+        longest, root, first = max(e - s for s, e, *_ in spans), list(range(len(spans))), 0
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, (s, e, *_) in enumerate(spans):
+            while first < i and spans[first][0] + longest <= s:
+                first += 1
+            for j in range(first, i):
+                both = min(e, spans[j][1]) - s
+                if both > 0 and both >= least * max(e - s, spans[j][1] - spans[j][0]):
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+        of: dict[int, list[tuple]] = {}
+        for i, span in enumerate(spans):
+            of.setdefault(find(i), []).append(span)
+        return [(min(x[2] for x in g), len(g), round(min(1.0, max(x[3] for x in g) + (bonus if len({x[4] for x in g}) > 1 else 0.0)), 9)) for g in of.values()]
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, now, held, out = [key, "label", "group_id", "n", "score"], None, [], []
+        for part in parts:
+            for k, label, piece, *span in part.itertuples(index=False, name=None):
+                if now != (k, label, piece):
+                    if held:
+                        out += [(now[0], now[1], *g) for g in grouped(held)]
+                    now, held = (k, label, piece), []
+                held.append(tuple(span))
+            yield pd.DataFrame(out, columns=columns)
+            out = []
+        if held:
+            yield pd.DataFrame([(now[0], now[1], *g) for g in grouped(held)], columns=columns)
+
+    w = Window.partitionBy(key, "label").orderBy("start_us", "end_us")
+    reach = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = observations.withColumn("fresh", F.when(F.col("start_us") < reach, 0).otherwise(1))
+    pieces = cut.withColumn("piece", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).select(key, "label", "piece", "start_us", "end_us", "interval_id", "confidence", "method")
     kind = observations.schema[key].dataType.simpleString()
-    return observations.groupBy(key, "label").applyInPandas(run, f"{key} {kind}, label string, group_id long, n long, score double")
+    return pieces.repartition(key, "label", "piece").sortWithinPartitions(key, "label", "piece", "start_us", "interval_id").mapInPandas(run, f"{key} {kind}, label string, group_id long, n long, score double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,19 +75,32 @@ def segments(atoms: DataFrame, gap_us: int = MAXIMUM_GAP_US) -> DataFrame:
     return rows.withColumn("segment", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("fresh")
 
 
-def lines(text: Column, most: int = LINE) -> Column:
-    """Lines of at most `most` characters, filled greedily; a longer word has a line of its own."""
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    return F.aggregate(words, F.array().cast("array<string>"), lambda a, w: _packed(a, w, F.length(_last(a)) + 1 + F.length(w) <= most))
+def _filled(words: Column, fits: Callable[[Column, Column], Column]) -> Column:
+    """Runs of words, each as long as the next word fits: structs of text, first (words before) and n (words).
 
+    One pass: a run is closed once, so an array grows by runs, not by words.
+    """
+    run = "struct<text: string, first: int, n: int>"
+    start = F.struct(F.array().cast(f"array<{run}>").alias("done"), F.lit("").alias("text"), F.lit(0).alias("first"), F.lit(0).alias("n"))
 
-def _last(a: Column) -> Column:
-    return F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(""))
+    def add(a: Column, w: Column) -> Column:
+        same = (a["n"] > 0) & fits(a, w)
+        closed = F.concat(a["done"], F.array(F.struct(a["text"].alias("text"), a["first"].alias("first"), a["n"].alias("n"))))
+        return F.struct(
+            F.when(same | (a["n"] == 0), a["done"]).otherwise(closed).alias("done"), F.when(same, F.concat(a["text"], F.lit(" "), w)).otherwise(w).alias("text"),
+            F.when(same, a["first"]).otherwise(a["first"] + a["n"]).alias("first"), F.when(same, a["n"] + 1).otherwise(F.lit(1)).alias("n"),
+        )
 
+    def finish(a: Column) -> Column:
+        return F.when(a["n"] > 0, F.concat(a["done"], F.array(F.struct(a["text"].alias("text"), a["first"].alias("first"), a["n"].alias("n"))))).otherwise(a["done"])
 
-def _packed(a: Column, w: Column, fits: Column) -> Column:
-    joined = F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.concat_ws(" ", _last(a), w)))
-    return F.when((F.size(a) > 0) & fits, joined).otherwise(F.concat(a, F.array(w)))
+    return F.aggregate(words, start, add, finish)
+
+
+def lines(text: Column, most: int = LINE) -> Column:
+    """Lines of at most `most` characters, filled greedily; a longer word has a line of its own."""
+    words = F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.transform(_filled(words, lambda a, w: F.length(a["text"]) + 1 + F.length(w) <= most), lambda r: r["text"])
 
 
 def cues(utterances: DataFrame, most: int = CUE, most_us: int = CUE_US) -> DataFrame:
@@ -95,16 +110,10 @@ def cues(utterances: DataFrame, most: int = CUE, most_us: int = CUE_US) -> DataF
     """
     rows = utterances.withColumn("ws", F.filter(F.split("text", SPACE), lambda w: w != "")).where("size(ws) > 0")
     rows = rows.withColumn("each", F.expr("(end_us - start_us) div size(ws)"))
-
-    def add(a: Column, w: Column) -> Column:
-        count = F.size(F.split(_last(a), " ")) + 1
-        return _packed(a, w, (F.length(_last(a)) + 1 + F.length(w) <= most) & (count * F.col("each") <= most_us))
-
-    packed = rows.withColumn("cues", F.aggregate("ws", F.array().cast("array<string>"), add))
-    out = packed.select("corpus_id", "pos", "start_us", "each", "cues", F.posexplode("cues").alias("i", "text"))
-    before = F.expr("aggregate(slice(cues, 1, i), 0L, (a, c) -> a + size(split(c, ' ')))")
-    start = F.col("start_us") + before * F.col("each")
-    return out.select("corpus_id", "pos", (F.col("i") + 1).cast("long").alias("cue_no"), "text", start.alias("start_us"), (start + F.size(F.split("text", " ")) * F.col("each")).alias("end_us"))
+    runs = _filled(F.col("ws"), lambda a, w: (F.length(a["text"]) + 1 + F.length(w) <= most) & ((a["n"] + 1) * F.col("each") <= most_us))
+    out = rows.select("corpus_id", "pos", "start_us", "each", F.posexplode(runs).alias("i", "r"))
+    start = F.col("start_us") + F.col("r.first") * F.col("each")
+    return out.select("corpus_id", "pos", (F.col("i") + 1).cast("long").alias("cue_no"), "r.text", start.alias("start_us"), (start + F.col("r.n") * F.col("each")).alias("end_us"))
 
 
 def cue_times(start_us: Column, end_us: Column) -> tuple[Column, Column]:

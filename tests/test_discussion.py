@@ -56,10 +56,10 @@ def test_mapping_is_the_best_of_all():
         assert total == best == sum(w[p] for p in pairs) and len({s for s, _ in pairs}) == len({r for _, r in pairs}) == len(pairs)
 
 
-def test_mapping_refuses_many_speakers(spark):
-    df = spark.createDataFrame([(1, f"s{i}", "r", 1) for i in range(4)], "corpus_id long, system string, reference string, weight_us long")
-    with pytest.raises(Exception, match="over 3 speakers"):
-        matching.speaker_mapping(df, most=3).collect()
+def test_mapping_takes_many_speakers(spark):
+    df = spark.createDataFrame([(1, f"s{i}", "r", 1 + i) for i in range(4)], "corpus_id long, system string, reference string, weight_us long")
+    for most in (3, 12):
+        assert rows(matching.speaker_mapping(df, most=most), "system", "reference", "weight_us") == [("s3", "r", 4)]
 
 
 def test_error_components(spark):
@@ -95,6 +95,23 @@ def test_grouping_is_transitive(spark):
     assert rows(matching.grouped_observations(ob), "label", "group_id", "n", "score") == [("q", 0, 3, 1.0), ("q", 3, 1, 0.5), ("r", 4, 1, 0.7)]
 
 
+def test_grouping_equals_a_plain_closure(spark):
+    rng = random.Random(9)
+    spans = [(i, rng.randrange(3), rng.choice("qr"), s := rng.randrange(60), s + rng.randrange(0, 14), rng.randrange(10) / 10, rng.randrange(2)) for i in range(150)]
+    root = {x[0]: x[0] for x in spans}
+    for _ in range(12):
+        for a, b in itertools.combinations(spans, 2):
+            both = min(a[4], b[4]) - max(a[3], b[3])
+            if a[1:3] == b[1:3] and both > 0 and 2 * both >= max(a[4] - a[3], b[4] - b[3]):
+                root[a[0]] = root[b[0]] = min(root[a[0]], root[b[0]])
+    groups = {}
+    for x in spans:
+        groups.setdefault((x[1], x[2], root[x[0]]), []).append(x)
+    want = sorted((k, label, g, len(xs), round(min(1.0, max(x[5] for x in xs) + (0.05 if len({x[6] for x in xs}) > 1 else 0)), 9)) for (k, label, g), xs in groups.items())
+    ob = spark.createDataFrame(spans, "interval_id long, corpus_id long, label string, start_us long, end_us long, confidence double, method long")
+    assert rows(matching.grouped_observations(ob), "corpus_id", "label", "group_id", "n", "score") == want
+
+
 def test_completeness(spark):
     said = ["So it was...", "Then we \u2014", "?!", "Right.", "Well", "and then they came", "never the end"]
     u = utter(spark, [("A", t, 1_000_000 * i, 1_000_000 * i + (400_000 if t == "Well" else 900_000)) for i, t in enumerate(said)])
