@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.functions.metrics import ratio
 from colloquy.functions.text import normalized_tokens
@@ -21,6 +22,8 @@ from colloquy.operators.intervals import overlap_pairs
 MATCH, SUBSTITUTION, DELETION, INSERTION = "match", "substitution", "deletion", "insertion"
 #: Cells of a table that is kept whole; larger ones are halved.
 CELLS = 1 << 18
+#: Pairs whose steps make one batch.
+PAIRS = 256
 
 
 class Costs:
@@ -114,20 +117,23 @@ def word_rows(df: DataFrame, keys: list[str], reference: str, hypothesis: str) -
 
     Steps, and words on each side, are numbered from 0. Pairs without words on both sides give no row.
     """
-    names = ["step", "op", "ref_no", "hyp_no", "ref_word", "hyp_word"]
-    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "step int, op string, ref_no int, hyp_no int, ref_word string, hyp_word string"])
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for at in range(len(part)):
-                a, b = (normalized_tokens(part[c].iloc[at]) for c in (reference, hypothesis))
-                rows = [(s, op, i, j, None if i is None else a[i], None if j is None else b[j]) for s, (op, i, j) in enumerate(aligned(a, b))]
-                out = pd.DataFrame(rows, columns=names).astype({"step": "Int32", "ref_no": "Int32", "hyp_no": "Int32"})
-                for k in reversed(keys):
-                    out.insert(0, k, part[k].iloc[[at] * len(out)].to_numpy())
-                yield out
-
-    return df.select(*keys, reference, hypothesis).mapInPandas(run, schema)
+    kinds = {"step": pa.int32(), "op": pa.string(), "ref_no": pa.int32(), "hyp_no": pa.int32(), "ref_word": pa.string(), "hyp_word": pa.string()}
+    schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(n, T.StringType() if k == pa.string() else T.IntegerType()) for n, k in kinds.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(start, PAIRS)
+                at, out = [], [[] for _ in kinds]
+                for i, texts in enumerate(zip(*(part.column(len(keys) + side).to_pylist() for side in (0, 1)), strict=True)):
+                    a, b = map(normalized_tokens, texts)
+                    for step, (op, r, h) in enumerate(aligned(a, b)):
+                        at.append(i)
+                        for column, value in zip(out, (step, op, r, h, None if r is None else a[r], None if h is None else b[h]), strict=True):
+                            column.append(value)
+                yield pa.record_batch([*(c.take(pa.array(at, pa.int64())) for c in part.columns[: len(keys)]), *(pa.array(column, kind) for column, kind in zip(out, kinds.values(), strict=True))], [*keys, *kinds])
+
+    return df.select(*keys, reference, hypothesis).mapInArrow(run, schema)
 
 
 def op_counts() -> list[Column]:
