@@ -49,6 +49,14 @@ def within(u: DataFrame, radius_us: int) -> DataFrame:
     return pairs.where((gap <= radius_us) & (F.col("bin") == first)).select("corpus_id", "pos", F.lit("temporal").alias("kind"), "member")
 
 
+class TargetTooLarge(ValueError):
+    """Of a window whose target alone exceeds a budget; `budget` names it."""
+
+    def __init__(self, target: int, budget: str):
+        super().__init__(f"utterance {target} alone exceeds its budget of {budget}")
+        self.budget = budget
+
+
 def selected(target: int, rows: list[tuple], utterances: int = UTTERANCES, tokens: int = TOKENS, duration_us: int = DURATION_US) -> dict[int, str]:
     """{member: 'member' or the first budget it breaks} of (pos, speaker, tokens, start_us, end_us), the target's row included.
 
@@ -67,7 +75,7 @@ def selected(target: int, rows: list[tuple], utterances: int = UTTERANCES, token
             reach = e if reach is None else max(reach, e)
         why = "utterances" if len(taken) + 1 > utterances else "tokens" if used + row[2] > tokens else "duration" if covered > duration_us else "member"
         if why != "member" and pos == target:
-            raise ValueError(f"utterance {target} alone exceeds its budget of {why}")
+            raise TargetTooLarge(target, why)
         out[pos] = why
         if why == "member":
             taken.append(row)
@@ -76,17 +84,26 @@ def selected(target: int, rows: list[tuple], utterances: int = UTTERANCES, token
     return out
 
 
+def decided(target: int, rows: list[tuple], utterances: int = UTTERANCES, tokens: int = TOKENS, duration_us: int = DURATION_US) -> dict[int, str]:
+    """As `selected`; where the target alone exceeds a budget, it is left out for that, and the others for `target`."""
+    try:
+        return selected(target, rows, utterances, tokens, duration_us)
+    except TargetTooLarge as no:
+        return {r[0]: no.budget if r[0] == target else "target" for r in rows}
+
+
 def budgeted(u: DataFrame, members: DataFrame, utterances: int = UTTERANCES, tokens: int = TOKENS, duration_us: int = DURATION_US) -> DataFrame:
     """(corpus_id, pos, member, decision): each window's members under its budgets.
 
     Every choice depends on those before, so a window is one call; windows stream past, sorted, a few thousand rows
-    at a time, and no more than one is held besides.
+    at a time, and no more than one is held besides. A target too large for its budget has no members; that is
+    a decision of its window, no error of the job.
     """
     facts = u.select("corpus_id", F.col("pos").alias("member"), "speaker", token_estimate(F.col("text")).alias("tokens"), "start_us", "end_us")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(window: tuple[int, int], rows: list[tuple]) -> list[tuple]:
-            return [(*window, member, why) for member, why in selected(window[1], rows, utterances, tokens, duration_us).items()]
+            return [(*window, member, why) for member, why in decided(window[1], rows, utterances, tokens, duration_us).items()]
 
         now, held, out = None, [], []
         for part in parts:

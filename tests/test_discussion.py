@@ -166,6 +166,13 @@ def test_budgets(spark):
         assert {r.member: r.decision for r in out if r.pos == p} == context.selected(p, rows_)
 
 
+def test_a_target_too_large_for_its_budget_is_left_out_and_stops_no_other(spark):
+    u = utter(spark, [("A", "a", 0, 1_000_000), ("B", "b" * 2_001, 1_000_000, 121_060_000), ("A", "c", 121_060_000, 122_000_000)])
+    got = {(r.pos, r.member): r.decision for r in context.budgeted(u, context.within(u, 30_000_000)).collect()}
+    assert {k: v for k, v in got.items() if k[0] == 1} == {(1, 0): "target", (1, 1): "duration", (1, 2): "target"}
+    assert {k: v for k, v in got.items() if k[0] != 1} == {(0, 0): "member", (0, 1): "duration", (2, 2): "member", (2, 1): "duration"}
+
+
 def test_metric_helpers(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (2, "x")], "i long, l string")
     b = spark.createDataFrame([(1, "x"), (1, "y"), (2, "y"), (3, "y")], "i long, l string")
