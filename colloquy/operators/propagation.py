@@ -80,25 +80,65 @@ def dependencies(observations: DataFrame, sets: DataFrame, acts: DataFrame, rela
     return edges if relations is None else edges.union(relations.select("src", "dst"))
 
 
+def lowered(offered: DataFrame, best: DataFrame) -> DataFrame:
+    """(node, round) of what is offered where it is new or lower than the best so far, as a written table."""
+    least = offered.groupBy("node").agg(F.min("round").alias("round"))
+    held = best.groupBy("node").agg(F.min("round").alias("held"))
+    return kept(least.join(held, "node", "left").where("held is null or round < held").select("node", "round"), "propagation-lowered")
+
+
 def reached(seeds: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, round) of all that depends on the seeds (node), they in round 0; the round is the fewest steps.
 
-    Each round joins the frontier with the edges and keeps what no earlier round has met, so cycles end it.
-    The frontier of a round is a written table; a hub's edges are dealt over SHARES tasks. `rounds` bounds
-    the steps where only near dependents are asked for. Null nodes and edges with a null end are left out.
+    Nodes with one dependent form chains, which may be as long as a recording: along these, ways are doubled, so
+    a pass takes the logarithm of the longest chain in jobs; it ends at the first length that lowers no round,
+    so cycles end it too. Then the other edges are followed one step, a hub's dealt over SHARES tasks,
+    and what that lowers goes along the chains again. So the jobs grow with the branchings on a way, not with its
+    length. Every step is a written table and reads few of them. `rounds` bounds the steps where only near
+    dependents are asked for. Null nodes and edges with a null end are left out.
     """
-    sound = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
-    dealt = kept(sound.withColumn("share", F.pmod(F.xxhash64("dst"), F.lit(SHARES))), "propagation-edges")
+    sound = kept(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "propagation-edges")
+    degrees = sound.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("dst"))
+    jumps = [kept(degrees.where("n = 1").select("src", "dst"), "propagation-jumps")]
+    dealt = kept(sound.join(degrees.where("n > 1").select("src"), "src").withColumn("share", F.pmod(F.xxhash64("dst"), F.lit(SHARES))), "propagation-branches")
     shares = F.explode(F.array(*(F.lit(i).cast("long") for i in range(SHARES)))).alias("share")
-    frontier = kept(seeds.where("node is not null").select("node", F.lit(0).alias("round")).distinct(), "propagation-round")
-    seen, parts, step = frontier, [frontier], 0
-    while not frontier.isEmpty() and (rounds is None or step < rounds):
-        step += 1
-        met = frontier.select(F.col("node").alias("src"), shares).join(dealt, ["src", "share"]).select(F.col("dst").alias("node")).distinct()
-        frontier = kept(met.join(seen.select("node"), "node", "left_anti").select("node", F.lit(step).alias("round")), "propagation-round")
-        parts.append(frontier)
-        seen = seen.unionAll(frontier)
-    out = kept(seen, "propagation-reached")
-    for part in (*parts, dealt):
-        dropped(part)
+    branches = not dealt.isEmpty()
+    fresh = kept(seeds.where("node is not null").select("node", F.lit(0).alias("round")).distinct(), "propagation-lowered")
+    best, done, turn = fresh, [sound, dealt], 0
+    while True:
+        moved, level = [fresh], 0
+        while rounds is None or 1 << level <= rounds:
+            if level == len(jumps):
+                a, b = jumps[-1], jumps[-1].select(F.col("src").alias("dst"), F.col("dst").alias("to"))
+                jumps.append(kept(a.join(b, "dst").select("src", F.col("to").alias("dst")), "propagation-jumps"))
+            of = union(moved).groupBy("node").agg(F.min("round").alias("round")).withColumnRenamed("node", "src")
+            offered = of.join(jumps[level], "src").select(F.col("dst").alias("node"), (F.col("round") + (1 << level)).alias("round"))
+            better = lowered(offered if rounds is None else offered.where(F.col("round") <= rounds), union([best, *moved[1:]]))
+            if better.isEmpty():
+                dropped(better)
+                break
+            moved.append(better)
+            level += 1
+        of = union(moved).groupBy("node").agg(F.min("round").alias("round"))
+        now = kept(union([best, *moved[1:]]).groupBy("node").agg(F.min("round").alias("round")), "propagation-reached")
+        turn += 1
+        after = None
+        if branches and (rounds is None or turn <= rounds):
+            met = of.select(F.col("node").alias("src"), "round", shares).join(dealt, ["src", "share"]).select(F.col("dst").alias("node"), (F.col("round") + 1).alias("round"))
+            after = lowered(met if rounds is None else met.where(F.col("round") <= rounds), now)
+        for part in (best, *moved[1:], *([fresh] if fresh is not best else [])):
+            dropped(part)
+        if after is None or after.isEmpty():
+            for part in (*done, *jumps, *([after] if after is not None else [])):
+                dropped(part)
+            return now
+        best = kept(union([now, after]).groupBy("node").agg(F.min("round").alias("round")), "propagation-reached")
+        dropped(now)
+        fresh = after
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
     return out

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from colloquy.operators import corrections, propagation, word_alignment
 from colloquy.plans.queries import query
 from colloquy.sources import tables
+from colloquy.sources.shared import kept
 from colloquy.sources.tables import U
 
 KEYS = ["corpus_id", "pos"]
@@ -42,8 +43,8 @@ def artifacts(spark, d):
     """(observations, sets, acts, relations) of the first version."""
     u = versions(spark, d)[0]
     cut = u.select(*KEYS, F.posexplode(F.expr("regexp_extract_all(text, '[^.\\n]+', 0)")).alias("n", "raw")).select(*KEYS, "n", F.trim("raw").alias("sentence")).where("sentence <> ''")
-    obs = cut.select(*KEYS, F.concat_ws("/", *KEYS, (F.col("n") + 1).cast("string")).alias("observation_id"), F.expr(FAMILY).alias("family"))
-    sets = obs.groupBy(*KEYS, "family").agg(F.sort_array(F.collect_list("observation_id")).alias("observation_ids")).withColumn("set_id", F.concat_ws("/", *KEYS, "family"))
+    obs = kept(cut.select(*KEYS, F.concat_ws("/", *KEYS, (F.col("n") + 1).cast("string")).alias("observation_id"), F.expr(FAMILY).alias("family")), "revision-observations")
+    sets = kept(obs.groupBy(*KEYS, "family").agg(F.sort_array(F.collect_list("observation_id")).alias("observation_ids")).withColumn("set_id", F.concat_ws("/", *KEYS, "family")), "revision-sets")
     acts = sets.where("size(observation_ids) > 1").select(*KEYS, "family", "set_id", F.concat(F.lit("act:"), "set_id").alias("act_id"))
     w = Window.partitionBy("corpus_id", "family").orderBy("pos")
     relations = acts.select(F.lag("act_id").over(w).alias("src"), F.col("act_id").alias("dst")).where("src is not null")

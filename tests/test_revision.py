@@ -60,6 +60,16 @@ def test_reached_ends_on_cycles_and_hubs(spark):
     assert P.reached(spark.createDataFrame([], "node string"), frame).collect() == []
 
 
+def test_reached_takes_few_steps_for_a_long_chain(spark, monkeypatch):
+    steps = []
+    plain = P.kept
+    monkeypatch.setattr(P, "kept", lambda df, name: steps.append(name) or plain(df, name))
+    edges = [(f"c{i}", f"c{i + 1}") for i in range(300)] + [("c40", "side"), ("side", "c100")]
+    got = P.reached(spark.createDataFrame([("c0",), ("c250",)], "node string"), spark.createDataFrame(edges, "src string, dst string")).collect()
+    assert {r.node: r.round for r in got} == plain_reach(["c0", "c250"], edges)
+    assert len(steps) < 60
+
+
 def segment(i, a, b, text, **more):
     return {"segment_id": i, "start_us": a, "end_us": b, "text": text, "normalized": C.normalized(text), "language": None, "alternatives": [], "annotations": [], "fixed": False} | more
 
