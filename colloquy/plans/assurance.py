@@ -94,8 +94,8 @@ ALTERED, GONE, FORKED = "o_totalprice BETWEEN 100000 AND 110000", "o_totalprice
 
 def ledger(spark, d):
     o = tables.read(spark, d, "orders").withColumn("content", F.expr(CONTENT.format("string")))
-    made = o.select(F.col("o_custkey").alias("ledger"), F.col("o_orderkey").alias("entry_id"), "content", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("made_us"))
-    sealed = chains.sealed(made).join(o.select(F.col("o_custkey").alias("ledger"), F.col("o_orderkey").alias("entry_id"), "o_totalprice"), ["ledger", "entry_id"])
+    made = o.select(F.col("o_custkey").alias("ledger"), F.col("o_orderkey").alias("entry_id"), "content", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("made_us"), "o_totalprice")
+    sealed = chains.sealed(made)
     w = Window.partitionBy("ledger").orderBy("made_us", "entry_id")
     forked = F.expr(FORKED) & F.lag("predecessor_id").over(w).isNotNull()
     rows = sealed.withColumns({"forked": forked, "p": F.lag("predecessor_id").over(w), "q": F.lag("predecessor_digest").over(w)})

@@ -120,3 +120,18 @@ def test_queue_orders_and_names_its_items(spark):
     assert sorted(list(r.utterances) for r in low) == [[1], [2]]
     with pytest.raises(ValueError, match="no such queue"):
         H.review_queue(u, wonder=source)
+
+
+def test_links_are_found_in_one_pass_and_ways_by_runs(spark, monkeypatch):
+    """A long chain is one run: no way is doubled, and the ledger is read for one written table."""
+    names = []
+    plain = H.kept
+    monkeypatch.setattr(H, "kept", lambda df, name: names.append(name) or plain(df, name))
+    whole = H.sealed(spark.createDataFrame([(1, i, f"x{i}", i, i * 2) for i in range(200)], "ledger long, entry_id long, content string, made_us long, size long"))
+    assert [r["size"] for r in whole.orderBy("entry_id").collect()] == [2 * i for i in range(200)]
+    got = H.surviving(whole).collect()
+    assert sorted((r.entry_id, r.depth) for r in got) == [(i, i) for i in range(200)]
+    assert names == ["chains-entries", "chains-links", "chains-runs", "chains-ways"]
+    back = whole.withColumn("made_us", -F.col("made_us"))  # each entry was made before its predecessor: as many runs
+    assert sorted((r.entry_id, r.depth) for r in H.surviving(back).collect()) == [(i, i) for i in range(200)]
+    assert {(r.entry_id, r.finding) for r in H.chain_findings(back).collect()} == {(i, "out_of_time") for i in range(1, 200)}
