@@ -166,6 +166,28 @@ def test_budgets(spark):
         assert {r.member: r.decision for r in out if r.pos == p} == context.selected(p, rows_)
 
 
+def test_error_components_shuffle_intervals_once(spark):
+    rows_ = [(1, i, "ab"[i % 2], 10 * i % 70, 10 * i % 70 + 25) for i in range(20)] * 2 + [(1, 99, None, 0, 300), (2, 1, "a", 5, 5)]
+    ref = spark.createDataFrame(rows_, "corpus_id long, interval_id long, label string, start_us long, end_us long")
+    said = ref.where("label is not null").withColumns({"start_us": F.col("start_us") + 7, "end_us": F.col("end_us") + 7})
+    out = matching.error_components(ref, said, 1, 64)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 and "Join" not in plan.replace("JoinSelection", "")
+
+    def on(rs, at, shift):
+        return {x for _, _, x, a, b in rs if x and a + shift <= at < b + shift}
+
+    edges = {t for k, _, _, a, b in rows_ if k == 1 for t in (a, b)}
+    want = [0] * 5
+    for at in range(310):
+        if not any(max(t - 1, 0) <= at < t + 1 for t in edges):
+            r, s = on(rows_, at, 0), on(rows_, at, 7)
+            for i, x in enumerate((len(r), len(r & s), max(len(r) - len(s), 0), max(len(s) - len(r), 0), min(len(r), len(s)) - len(r & s))):
+                want[i] += x
+    got = {x.corpus_id: list(x)[1:6] for x in out.collect()}
+    assert got == {1: want}
+
+
 def test_a_target_too_large_for_its_budget_is_left_out_and_stops_no_other(spark):
     u = utter(spark, [("A", "a", 0, 1_000_000), ("B", "b" * 2_001, 1_000_000, 121_060_000), ("A", "c", 121_060_000, 122_000_000)])
     got = {(r.pos, r.member): r.decision for r in context.budgeted(u, context.within(u, 30_000_000)).collect()}
