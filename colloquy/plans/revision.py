@@ -172,7 +172,7 @@ UNION ALL SELECT corpus_id, 'c' || 2 * rn || '.0', end_us, end_us + 1000000, 'ad
 
 
 def _replayed(spark, d):
-    segs = segments(spark, d)
+    segs = kept(segments(spark, d), "revision-segments")
     return corrections.replay(segs, corrections_of(segs))
 
 
@@ -194,10 +194,10 @@ UNION ALL SELECT corpus_id, 'lost', segment_id FROM st WHERE n = 30 AND NOT take
 UNION ALL SELECT st.corpus_id, 'altered', segment_id FROM st JOIN cu2 USING (corpus_id, segment_id) WHERE st.end_us <> cu2.end_us""")
 def revision_faults(spark, d):
     """A revision spoilt on purpose: segments of one length are gone, others end too late."""
-    segs = segments(spark, d)
-    asked = corrections_of(segs)
+    segs = kept(segments(spark, d), "revision-segments")
+    asked = kept(corrections_of(segs), "revision-corrections")
     current, entries = corrections.replay(segs, asked)
-    spoilt = current.where("length(text) <> 30").withColumn("end_us", F.expr("CASE WHEN text LIKE '%z%' THEN end_us + 1 ELSE end_us END"))
+    spoilt = kept(current.where("length(text) <> 30").withColumn("end_us", F.expr("CASE WHEN text LIKE '%z%' THEN end_us + 1 ELSE end_us END")), "revision-spoilt")
     return corrections.revision_findings(segs, asked, entries, spoilt)
 
 

@@ -310,3 +310,13 @@ def test_states_that_meet_a_reference(spark):
     states = spark.createDataFrame([(1, "a", 0, 10), (1, "b", 10, 20), (1, "c", 20, 30), (2, "a", 0, 10), (1, "z", None, None)], "corpus_id long, segment_id string, start_us long, end_us long")
     refs = spark.createDataFrame([(1, 5, 10), (1, 7, 9), (1, 20, 21)], "corpus_id long, start_us long, end_us long")
     assert sorted(r.segment_id for r in A.overlapping_states(states, refs, 7).collect()) == ["a", "c"]
+
+
+def test_revision_faults_computes_segments_and_corrections_once(spark, monkeypatch):
+    from colloquy.plans import revision
+
+    names = []
+    monkeypatch.setattr(revision, "kept", lambda df, name, plain=revision.kept: names.append(name) or plain(df, name))
+    out = revision.revision_faults(spark, "/root/testdata/sf0.001")
+    assert names == ["revision-segments", "revision-corrections", "revision-spoilt"]
+    assert "conversations" not in "".join(out.inputFiles())
