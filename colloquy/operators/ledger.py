@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of both sides of a join in one part.
+PART_ROWS = 1 << 20
+
 
 def active(ledger: DataFrame, entry: str = "entry_id", predecessor: str = "predecessor_id") -> DataFrame:
     """Entries that no other supersedes."""
@@ -27,6 +30,19 @@ def orphans(child: DataFrame, parent: DataFrame, on: str) -> DataFrame:
     return child.join(parent.select(on), on, "left_anti")
 
 
+def sides(child: DataFrame, parent: DataFrame, on: str, share: int = PART_ROWS) -> DataFrame:
+    """Child and parent rows that share `on`, and those of either side alone, with booleans child and parent.
+
+    One pass over both: rows are dealt by key to as many parts as there are `share` rows, so the rows that a task
+    sorts do not grow with the tables. Rows without a key are alone.
+    """
+    rows = child.count() + parent.count()  # of Parquet files, read from their footers
+    parts = max(int(child.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // share))
+    c, p = (df.repartition(parts, on).withColumn(name, F.lit(True)) for df, name in ((child, "child"), (parent, "parent")))
+    no = F.lit(False)
+    return c.hint("merge").join(p, on, "full").withColumns({"child": F.coalesce("child", no), "parent": F.coalesce("parent", no)})
+
+
 def corrected(rows: DataFrame, corrections: DataFrame, key: list[str], column: str) -> DataFrame:
     """`column` replaced where a correction (key, expected, replacement, seq) expects the value it finds; the last one wins.
 

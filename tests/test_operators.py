@@ -226,3 +226,16 @@ def test_text_error_rate_takes_whole_texts(spark, tmp_path):
     got = {r.item_id: (r.distance, r.cer) for r in queries.QUERIES["text_error_rate"](spark, f"file://{tmp_path}").collect()}
     want = {k: distance(*p) for k, p in enumerate(pairs)}
     assert got == {k: (n, round(n / len(pairs[k][0]), 9) if pairs[k][0] else None) for k, n in want.items()}
+
+
+def test_sides_of_a_join_are_dealt_by_the_number_of_rows(spark):
+    from colloquy.operators import ledger as books
+
+    child = spark.createDataFrame([(i // 2, i) for i in range(100)] + [(None, -1), (900, -2)], "id long, line long")
+    parent = spark.createDataFrame([(i, i) for i in range(45)] + [(7, 70), (None, -3), (800, -4)], "id long, made long")
+    out = books.sides(child, parent, "id", 10)
+    assert out.rdd.getNumPartitions() == 15  # 150 rows in parts of 10
+    got = out.collect()
+    assert sorted(r.line for r in got if not r.parent) == [-2, -1, *range(90, 100)]
+    assert sorted(r.made for r in got if not r.child) == [-4, -3]
+    assert len([r for r in got if r.child and r.parent]) == 92
