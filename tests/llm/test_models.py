@@ -205,3 +205,66 @@ def test_lm_tables_equal_the_tree_in_memory(spark):
         b = S.spelled(S.tokens(t))
         want = tree.score([b])[S.DEPTH :]
         assert np.allclose([lp[int.from_bytes(b[i - S.DEPTH : i + 1], "big")] for i in range(S.DEPTH, len(b))], want, atol=1e-9)
+
+
+def plain_tree(seqs, keys, base, bits, depth):
+    """log10 of each key after each place, by counting every context of the ladder of lengths one text at a time."""
+    tree, now = [], [[base[k] for k in ks] for _, ks in seqs]
+    while True:
+        met = {}
+        for (weight, ks), ps in zip(seqs, now, strict=True):
+            for i in range(depth, len(ks) + 1):  # key i - 1 follows i symbols, the start sign among them
+                c = met.setdefault(tuple(["<s>", *ks][i - depth : i]) if i - depth >= 0 else None, {})
+                c.setdefault(ks[i - 1], [0, ps[i - 1]])[0] += weight
+        kept = {}
+        for ctx, c in met.items():
+            total, kinds, single = sum(n for n, _ in c.values()), sum(n > 0 for n, _ in c.values()), sum(n == 1 for n, _ in c.values())
+            if total >= S.OFTEN and any(n > 1 for n, _ in c.values()):
+                e, of = kinds + single, total + kinds
+                saved = single and single * math.log2((e - 2) / (of - 2))
+                for n, p in c.values():
+                    if n > 1:
+                        saved += n * (math.log2((e + 1) / (of - 1)) if n == 2 else math.log2((n - 1 + e * 10**p) / (of - 1)) - p * math.log2(10))
+                if saved >= bits:
+                    kept[ctx] = (c, e, of)
+        for (_, ks), ps in zip(seqs, now, strict=True):
+            for i in range(depth, len(ks) + 1):
+                if (k := kept.get(tuple(["<s>", *ks][i - depth : i]))) is not None:
+                    n = k[0][ks[i - 1]][0]
+                    ps[i - 1] = math.log10(((n if n > 1 else 0) + k[1] * 10 ** ps[i - 1]) / k[2])
+        tree.append((depth, len(kept)))
+        if depth > max(len(ks) for _, ks in seqs):
+            return tree, now
+        depth = S.after(depth)
+
+
+def test_lm_contexts_are_as_long_as_the_counts_say(spark):
+    # the first words of a line tell its last, over eleven equal ones: no shorter context does
+    rng = np.random.default_rng(8)
+    line = " ".join(f"passage{i}" for i in range(11))
+    docs = [(i, f"{'left' if i % 2 else 'right'} {line} {'sinister' if i % 2 else 'dexterous'} " + " ".join(f"w{x}" for x in rng.integers(0, 30, 12))) for i in range(240)]
+    df = spark.createDataFrame(docs, "doc_id long, t string")
+    flags = df.select("t", (df.doc_id < 200).alias("trained"), (df.doc_id >= 0).alias("scored"))
+    units = S.unit_counts(flags, alone=True).select("unit", "n").withColumn("uid", S.F.monotonically_increasing_id())
+    words, _ = S.word_scores(S.written(units, "units"))
+    base = {r.key: r.lp for r in words.collect()}
+    split = [[*S.tokens(t), S.END] for _, t in docs]
+    key = {w: int(S.hashed_tokens(w)[1].view(np.int64)[0]) if w != S.END else int(S.LAST.view(np.int64)) for ws in split for w in ws}
+    tree, want = plain_tree([(int(i < 200), [key[w] for w in ws]) for i, ws in enumerate(split)], key, base, S.BITS, 1)
+    assert dict(tree)[12] > 0
+    got = {r.doc_id: r for r in S.score(df, df.doc_id < 200, text="t").collect()}
+    for i, ps in enumerate(want):
+        assert abs(got[i].score - sum(ps)) < 1e-6
+    other = docs[239][1].replace("sinister", "dexterous")
+    swapped = S.score(spark.createDataFrame([(1, docs[239][1]), (2, other)], "doc_id long, t string"), df.where("doc_id < 200"), text="t")
+    right, wrong = (r.score for r in swapped.orderBy("doc_id").collect())
+    assert right > wrong + 1
+
+
+def test_lm_spelling_contexts_pass_the_packed_bytes(spark):
+    # the first letter of a token tells its last, over eleven equal bytes
+    words = [f"{'xy'[i % 2]}abcdefghijk{'uv'[i % 2]}{i}" for i in range(400)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, t string")
+    new = spark.createDataFrame([(1, "xabcdefghijku900"), (2, "xabcdefghijkv900")], "doc_id long, t string")
+    right, wrong = (r.score for r in S.score(new, df, text="t").orderBy("doc_id").collect())
+    assert right > wrong + 1
