@@ -268,3 +268,23 @@ def test_lm_spelling_contexts_pass_the_packed_bytes(spark):
     new = spark.createDataFrame([(1, "xabcdefghijku900"), (2, "xabcdefghijkv900")], "doc_id long, t string")
     right, wrong = (r.score for r in S.score(new, df, text="t").orderBy("doc_id").collect())
     assert right > wrong + 1
+
+
+def test_lm_scores_are_kept_for_what_a_context_met_twice(spark, monkeypatch):
+    # 1500 words follow `common` once each: one row stands for all of them, and they still get its rest
+    rng = np.random.default_rng(9)
+    ends = [" ".join(f"w{x}" for x in rng.integers(0, 5, 6)) for _ in range(2100)]
+    docs = [(i, f"common {'again' if i < 600 else f'u{i}'} {end}") for i, end in enumerate(ends)]
+    sizes, written = [], S.written
+
+    def counted(df, name):
+        out = written(df, name)
+        sizes.extend([out.count()] if name == "token-scores" else [])
+        return out
+
+    monkeypatch.setattr(S, "written", counted)
+    df = spark.createDataFrame(docs, "doc_id long, t string")
+    new = spark.createDataFrame([(1, "common again"), (2, "common u700"), (3, "w1 again"), (4, "w1 u700")], "doc_id long, t string")
+    a, b, c, d = (r.score for r in S.score(new, df, text="t").orderBy("doc_id").collect())
+    assert sizes and max(sizes) < 500
+    assert a - c > b - d > 0
