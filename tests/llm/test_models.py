@@ -288,3 +288,69 @@ def test_lm_scores_are_kept_for_what_a_context_met_twice(spark, monkeypatch):
     a, b, c, d = (r.score for r in S.score(new, df, text="t").orderBy("doc_id").collect())
     assert sizes and max(sizes) < 500
     assert a - c > b - d > 0
+
+
+def test_lm_texts_are_read_seven_times_however_long_the_contexts(spark):
+    # a passage of 70 tokens; before, there was a pass for each length up to 8, and copies of the texts beyond
+    line = " ".join(f"passage{i}" for i in range(70))
+    docs = [(i, f"{'left' if i % 2 else 'right'} {line} {'sinister' if i % 2 else 'dexterous'}") for i in range(200)]
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(docs, "doc_id long, t string").mapInArrow(told, "doc_id long, t string")
+    right = {r.doc_id: r.score for r in S.score(df, S.F.lit(True), text="t").collect()}
+    assert len(right) == 200 and read.value <= 7 * 200
+
+
+def lm_entries(kinds, kind):
+    return sum(len(S.unboxed([S.pa.scalar(r.box)])["key"]) for r in kinds.where(f"kind = {kind}").collect())
+
+
+def test_lm_false_keys_score_as_their_suffix(spark, monkeypatch):
+    # every bit map is full, so all that is looked up seems to be in the tree: no score may change
+    rng = np.random.default_rng(4)
+    docs = [(i, "common " + " ".join(f"w{x}" for x in rng.integers(0, 12, 20)) + (" so it ends" if i % 3 else f" but not{i} here")) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, t string")
+    scores, written = [], S.written
+
+    def counted(df, name):
+        out = written(df, name)
+        scores.extend([lm_entries(out, S.SCORES)] if name == "token-scores" else [])
+        return out
+
+    monkeypatch.setattr(S, "written", counted)
+    want = {r.doc_id: r.score for r in S.score(df, df.doc_id < 300, text="t").collect()}
+    assert 0 < max(scores) < 500
+    of = S.Sieve.of.__func__
+
+    def full(cls, *args):
+        s = of(cls, *args)
+        return cls(~np.zeros_like(s.words))
+
+    monkeypatch.setattr(S.Sieve, "of", classmethod(full))
+    got = {r.doc_id: r.score for r in S.score(df, df.doc_id < 300, text="t").collect()}
+    assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_lm_packed_letters_equal_the_tables(spark):
+    texts = ["some words come again and some go " * (1 + i % 3) + f"end{i} longertokens{i % 4} x" for i in range(30)] + ["unseen wördsé go", "", "so"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, t string")
+    flags = docs.select("t", (docs.doc_id < 30).alias("trained"), (docs.doc_id >= 0).alias("scored"))
+    units = S.unit_counts(flags, alone=True).select("unit", (S.F.col("n") > 0).cast("long").alias("n"))
+    want = {int(S.mixed(np.array([r.gram]).view(np.uint64))[0]): r.lp for r in S.gram_scores(S.gram_counts(units), bits=5.0).collect() if r.gram < S.TOKEN}
+    grams = S.written(S.byte_grams(S.vocabulary(flags, 58)), "grams")
+    got = S.unboxed([S.pa.scalar(r.box) for r in S.byte_scores(grams, 58, 5.0).collect()])
+    assert sorted(got["key"].tolist()) == sorted(want) and all(abs(want[k] - lp) < 1e-9 for k, lp in zip(got["key"].tolist(), got["lp"].tolist()))
+
+
+def test_lm_token_hashes():
+    rng = np.random.default_rng(7)
+    for text in ["", " ", "\n\t", "A", " b ", "é ü\x0bÄ\x0c" + "x" * 64 + " " + "X" * 65 + " " + "x" * 200 + "\r" + "y" * 200, *("".join(rng.choice(list("aB \n\x1cé"), 300)) for _ in range(20))]:
+        begins, keys, ends = S.hashed_tokens(text.encode())
+        found = [text.encode()[a:b].lower() for a, b in zip(begins, ends, strict=True)]
+        assert found == S.tokens(text) and len(set(keys.tolist())) == len(set(found))
+        assert all(S.hashed_tokens(b"before " + w + b" after")[1][1] == k for w, k in zip(found, keys, strict=True))
