@@ -2,6 +2,7 @@
 
 import math
 import os
+import time
 import zlib
 from collections import Counter
 
@@ -347,6 +348,60 @@ def test_lm_packed_letters_equal_the_tables(spark):
     assert sorted(got["key"].tolist()) == sorted(want) and all(abs(want[k] - lp) < 1e-9 for k, lp in zip(got["key"].tolist(), got["lp"].tolist()))
 
 
+def test_lm_boxes_cost_little():
+    # tasks exchange a box for each two ranges, so a box of few entries may not cost a hundred microseconds
+    part = np.repeat(np.arange(20_000, dtype=np.int32), 2)
+    columns = {"key": np.arange(40_000, dtype=np.uint64), "n": np.ones(40_000, np.int32), "word": S.pa.array([b"a" * (i % 3) for i in range(40_000)], S.pa.binary())}
+    took = []
+    for _ in range(3):
+        start = time.process_time()
+        boxes = S.packs(columns, part)
+        got = S.unboxed(boxes.column(1))
+        took.append(time.process_time() - start)
+    assert boxes.num_rows == 20_000 and boxes.column(0).to_pylist() == list(range(20_000))
+    assert all((got[c] == columns[c]).all() for c in ("key", "n")) and got["word"].equals(columns["word"])
+    some = S.unboxed(S.pa.chunked_array([boxes.column(1)[3:5], S.pa.array([None], S.pa.binary()), boxes.column(1)[:0]]))
+    assert some["key"].tolist() == [6, 7, 8, 9] and some["word"].to_pylist() == [b"", b"a", b"aa", b""]
+    assert not len(S.unboxed(boxes.column(1)[:0])["key"]) and min(took) < 1.0
+
+
+def test_lm_sums_of_a_large_group(monkeypatch):
+    monkeypatch.setattr(S, "RANGE", 1000)
+    rng = np.random.default_rng(5)
+    ctx, up, n = S.mixed(rng.integers(0, 9, 5300).astype(np.uint64)), S.mixed(rng.integers(0, 90, 5300).astype(np.uint64)), rng.integers(1, 400, 5300)
+    boxes = S.packs({"ctx": ctx, "up": up, "n": n}, np.arange(5300, dtype=np.int32) // 130).column(1)
+    want = S.summed(ctx, up, n)
+    for got in (S.summed_boxes(boxes), S.summed_boxes(S.packs({"ctx": ctx, "up": up, "n": n}, np.zeros(5300, np.int32)).column(1))):
+        assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(*(x.tolist() for x in want))) and (got[0][1:] >= got[0][:-1]).all()
+
+
+def test_lm_boxes_grow_with_the_places_of_a_length(spark, monkeypatch):
+    # with many ranges, long contexts of few places made as many boxes as short ones: a box for each two ranges
+    monkeypatch.setattr(S, "RANGE", 1 << 6)
+    rng = np.random.default_rng(6)
+    line = " ".join(f"passage{i}" for i in range(14))
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 40, 30)) + (f" {'left' if i % 2 else 'right'} {line} {'sinister' if i % 2 else 'dexterous'}" if i < 200 else "")) for i in range(1500)]
+    rows, written = [], S.written
+
+    def counted(df, name):
+        out = written(df, name)
+        rows.extend([out.count()] if name == "token-met" else [])
+        return out
+
+    monkeypatch.setattr(S, "written", counted)
+    df = spark.createDataFrame(docs, "doc_id long, t string")
+    assert S.score(df, S.F.lit(True), text="t").count() == 1500
+    assert len(rows) > 6 and min(rows) * 4 < rows[0]
+
+
+def test_lm_shuffles_go_with_their_step(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with S.small_batches(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name) == before
+
+
 def test_lm_token_hashes():
     rng = np.random.default_rng(7)
     for text in ["", " ", "\n\t", "A", " b ", "é ü\x0bÄ\x0c" + "x" * 64 + " " + "X" * 65 + " " + "x" * 200 + "\r" + "y" * 200, *("".join(rng.choice(list("aB \n\x1cé"), 300)) for _ in range(20))]:
